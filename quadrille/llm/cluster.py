@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -18,10 +19,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def batches(spark: SparkSession, rows: int = 512) -> None:
+def batches(spark: SparkSession, rows: int = 2048) -> None:
     """Limits the rows of an Arrow batch, so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Only the id and the text, as doc_id and text; other columns cannot clash."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def text_key(text: str = "text") -> Column:
+    """Tells apart different texts under one id, or under a null id; 0 for a null text."""
+    return F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text)))

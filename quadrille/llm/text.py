@@ -58,6 +58,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SCRAMBLED = mix(np.arange(1, 257, dtype=U64) * _BASE)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,13 +110,14 @@ def spans(data: np.ndarray, at: np.ndarray, spaced: bool = False) -> tuple[np.nd
     return np.searchsorted(at, start, side="right") - 1, start, end
 
 
-def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit fingerprint of each span of bytes."""
+def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True, second: bool = False) -> np.ndarray:
+    """A 64-bit fingerprint of each span of bytes; second: another one, independent of the first."""
     if not len(start):
         return np.zeros(0, U64)
     total = np.zeros(len(data) + 1, U64)
     # Every byte counts by one more, so that leading zero bytes matter too.
-    np.cumsum(((_LOWER[data] if lower else data).astype(U64) + U64(1)) * powers(len(data)), out=total[1:])
+    value = _LOWER[data] if lower else data
+    np.cumsum((_SCRAMBLED[value] if second else value.astype(U64) + U64(1)) * powers(len(data)), out=total[1:])
     return mix((total[end] - total[start]) * powers(len(data) + 1, inverse=True)[start])
 
 
