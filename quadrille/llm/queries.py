@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import lines, quality
+from quadrille.llm import lines, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(_table(spark, sf_dir, "documents"))
 
@@ -22,11 +26,37 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_quality_rules": quality_rules,
     "op10_line_dedup": line_dedup,
 }
 
+#: The words of a text, as a list.
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+WITH words AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+    FROM words WHERE len(w) > 0
+), sets AS (
+    SELECT doc_id, list(g ORDER BY g) AS s, count(*) AS n FROM grams GROUP BY doc_id
+), reps AS (
+    SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS rep FROM sets
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+    FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+    WHERE a.doc_id IN (SELECT rep FROM reps) AND b.doc_id IN (SELECT rep FROM reps)
+    GROUP BY 1, 2
+)
+SELECT a AS id_a, b AS id_b, o::DOUBLE / (x.n + y.n - o) AS jaccard
+FROM shared JOIN reps x ON a = x.doc_id JOIN reps y ON b = y.doc_id
+WHERE o::DOUBLE / (x.n + y.n - o) >= 0.5
+UNION ALL
+SELECT rep, doc_id, 1.0::DOUBLE FROM reps WHERE rep <> doc_id
+""",
     "op10_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
