@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import lines, ngram_join, quality
+from quadrille.llm import decontaminate, lines, ngram_join, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(_table(spark, sf_dir, "documents"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_table(spark, sf_dir, "documents"))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.keep_bitmaps(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,8 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_quality_rules": quality_rules,
+    "op5_substring_dedup": substring_dedup,
+    "op9_benchmark_decontamination": decontamination,
     "op10_line_dedup": line_dedup,
 }
 
@@ -56,6 +66,23 @@ FROM shared JOIN reps x ON a = x.doc_id JOIN reps y ON b = y.doc_id
 WHERE o::DOUBLE / (x.n + y.n - o) >= 0.5
 UNION ALL
 SELECT rep, doc_id, 1.0::DOUBLE FROM reps WHERE rep <> doc_id
+""",
+    "op5_substring_dedup": f"""
+WITH words AS (
+    SELECT row_number() OVER () AS doc, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL
+), windows AS (
+    SELECT doc, unnest(range(0, len(w) - 49)) AS s, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+    FROM words WHERE len(w) >= 50
+), found AS (
+    SELECT doc, s FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(DISTINCT doc) > 1)
+), marked AS (
+    SELECT doc, s, (s > coalesce(lag(s) OVER (PARTITION BY doc ORDER BY s), -1000) + 50)::INT AS turn FROM found
+), spans AS (
+    SELECT doc, min(s) AS a, max(s) + 50 AS b
+    FROM (SELECT doc, s, sum(turn) OVER (PARTITION BY doc ORDER BY s) AS span FROM marked)
+    GROUP BY doc, span
+)
+SELECT doc_id, a::BIGINT AS start_word, b::BIGINT AS end_word, len(w)::BIGINT AS n_words FROM spans JOIN words USING (doc)
 """,
     "op10_line_dedup": r"""
 WITH lines AS (
