@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, lines, ngram_join, quality, substrings
+from quadrille.llm import decontaminate, lines, ngram_join, pieces, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(_table(spark, sf_dir, "documents"))
 
 
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_quality_rules": quality_rules,
     "op5_substring_dedup": substring_dedup,
+    "op7_sentencepiece": sentencepiece,
     "op9_benchmark_decontamination": decontamination,
     "op10_line_dedup": line_dedup,
 }
