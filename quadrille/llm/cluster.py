@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the shuffle files removed that only a plan needs which nobody holds any more, such as one kept by durable()."""
+    for _ in range(2):  # what the first collection lets go of is found by the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def batches(spark: SparkSession, rows: int = 2048) -> None:
     """Limits the rows of an Arrow batch, so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -34,6 +44,7 @@ def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_key(text: str = "text") -> Column:
+def text_key(text: str | Column = "text") -> Column:
     """Tells apart different texts under one id, or under a null id; 0 for a null text."""
-    return F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text)))
+    column = F.col(text) if isinstance(text, str) else text
+    return F.when(column.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(column))

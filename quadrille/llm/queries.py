@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, lines, ngram_join, pieces, quality, substrings
+from quadrille.llm import decontaminate, lines, ngram_join, pieces, quality, secret_scan, shards, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(_table(spark, sf_dir, "documents"))
 
 
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shards(_table(spark, sf_dir, "documents"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_quality_rules": quality_rules,
+    "op3_secret_scans": secret_scans,
     "op5_substring_dedup": substring_dedup,
     "op7_sentencepiece": sentencepiece,
+    "op8_sharding": sharding,
     "op9_benchmark_decontamination": decontamination,
     "op10_line_dedup": line_dedup,
 }
