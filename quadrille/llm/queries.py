@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import decontaminate, lines, ngram_join, pieces, quality, secret_scan, shards, substrings
+from quadrille.llm import decontaminate, html_text, language, lines, ngram_join, pieces, quality, secret_scan, shards, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shards(_table(spark, sf_dir, "documents"))
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_quality_rules": quality_rules,
     "op3_secret_scans": secret_scans,
+    "op4_language_id": language_id,
     "op5_substring_dedup": substring_dedup,
+    "op6_html_extraction": html_extraction,
     "op7_sentencepiece": sentencepiece,
     "op8_sharding": sharding,
     "op9_benchmark_decontamination": decontamination,
