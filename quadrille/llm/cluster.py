@@ -10,14 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset, as in tests, one is made, and kept for the session."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="quadrille-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
