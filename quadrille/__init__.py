@@ -1,0 +1 @@
+"""Tile-based visual analytics as DataFrame plans."""
