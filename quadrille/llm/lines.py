@@ -145,19 +145,19 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _kept(df, id_col, text_col).drop("key")
 
 
-def _applied(batches_: Iterator[pa.RecordBatch], text: int, keep: int, chars: int) -> Iterator[pa.RecordBatch]:
+def _applied(batches_: Iterator[pa.RecordBatch], text: int, chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches_:
+        own = batch.column(0)
+        columns, names = own.flatten(), own.type.names
         texts, some = [], []
-        for whole, coded in zip(batch.column(text).to_pylist(), batch.column(keep).to_pylist()):
-            lines, flags = (whole or "").split("\n"), decode(coded or "")
-            left = [x for x, f in zip(lines, flags) if f]
+        for whole, coded in zip(columns[text].to_pylist(), batch.column(1).to_pylist()):
+            left = [x for x, f in zip((whole or "").split("\n"), decode(coded or "")) if f]
             texts.append("\n".join(left))
             some.append(any(x.strip(" \t\r") for x in left))
-        columns = [batch.column(i) for i in range(batch.num_columns) if i != keep]
         columns[text] = pa.array(texts, pa.string())
         if chars >= 0:
             columns[chars] = pa.array([len(x) for x in texts], pa.int64()).cast(columns[chars].type)
-        yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i != keep]).filter(pa.array(some))
+        yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(some))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -167,8 +167,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in id and text keep the same lines.
     """
     names = df.columns
-    side = _kept(df, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("keep").alias("__keep"))
-    joined = df.withColumn("__own", text_key(text_col)).join(side, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    out = joined.select(*[F.col(f"`{c}`") for c in names], "__keep")
+    side = _kept(df, id_col, text_col).select("doc_id", "key", "keep")
+    own = df.select(F.struct("*").alias("own"), F.col(id_col).cast("long").alias("own_id"), text_key(text_col).alias("own_key"))
+    joined = own.join(side, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key"))).select("own", "keep")
     chars = names.index(chars_col) if chars_col in names else -1
-    return out.mapInArrow(lambda b: _applied(b, names.index(text_col), len(names), chars), df.schema)
+    return joined.mapInArrow(lambda b: _applied(b, names.index(text_col), chars), df.schema)
