@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import census
 from quadrille.llm import text as X
-from quadrille.llm.cluster import durable, slim, text_key
+from quadrille.llm.cluster import durable, release, slim, text_key
 
 U64 = np.uint64
 #: Words of an n-gram, and the least Jaccard similarity.
@@ -118,20 +118,35 @@ def _signed(batches_: Iterator[pa.RecordBatch], least: float, rare: int) -> Iter
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), rid[i])), pa.array(np.full(len(sig), size[i]))], ["sig", "rid", "n"])
 
 
-def _edges(df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare: int) -> DataFrame:
-    """(id_a, key_a, id_b, key_b, jaccard) between representatives, and from each to its copies."""
+def _open(df: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
+    """The documents that the census leaves, each with a number."""
     docs = slim(df, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("key"), "text")
     told = census.told(census.sent(docs, lambda data, at: X.shingles(data, at, n)))
     left = told.groupBy("chunk").applyInArrow(lambda t: _left(t, n, least), "doc_id long, key long, n long, f1 long, f2 long, grams array<long>")
+    return left.withColumn("rid", F.monotonically_increasing_id())
+
+
+def _ranked(left: DataFrame) -> DataFrame:
+    """Documents in the order of their ids among those of equal sets, and the first of these."""
     same = Window.partitionBy("f1", "f2").orderBy("doc_id", "key")
-    left = left.withColumn("rank", F.row_number().over(same)).withColumn("rep_id", F.first("doc_id").over(same)).withColumn("rep_key", F.first("key").over(same))
-    left = durable(left.select("doc_id", "key", "rep_id", "rep_key", "rank", "n", F.when(F.col("rank") == 1, F.col("grams")).alias("grams"), F.monotonically_increasing_id().alias("rid")))
-    copies = left.where("rank > 1 AND (doc_id <> rep_id OR key <> rep_key)").select(F.col("rep_id").alias("id_a"), F.col("rep_key").alias("key_a"), F.col("doc_id").alias("id_b"), F.col("key").alias("key_b"), F.lit(1.0).alias("jaccard"))
-    reps = left.where("rank = 1")
-    held = reps.select("rid", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_list("rid").alias("rids")).where("size(rids) > 1")
+    slim_ = left.select("rid", "doc_id", "key", "n", "f1", "f2")
+    return slim_.withColumn("rank", F.row_number().over(same)).withColumn("rep_id", F.first("doc_id").over(same)).withColumn("rep_key", F.first("key").over(same)).drop("f1", "f2")
+
+
+def _edges(df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare: int) -> DataFrame:
+    """(id_a, key_a, id_b, key_b, jaccard) between representatives, and from each to its copies."""
+    left = durable(_open(df, id_col, text_col, n, least))
+    release(df.sparkSession)
+    ranked = durable(_ranked(left))
+    copies = ranked.where("rank > 1 AND (doc_id <> rep_id OR key <> rep_key)").select(F.col("rep_id").alias("id_a"), F.col("rep_key").alias("key_a"), F.col("doc_id").alias("id_b"), F.col("key").alias("key_b"), F.lit(1.0).alias("jaccard"))
+    reps = ranked.where("rank = 1").select("rid", "n", "doc_id", "key")
+    grams = left.select("rid", "grams").join(reps.select("rid"), "rid", "left_semi")
+    held = grams.select("rid", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_list("rid").alias("rids")).where("size(rids) > 1")
     shared = held.select("gram", F.size("rids").alias("df"), F.explode("rids").alias("rid")).groupBy("rid").agg(F.collect_list(F.struct("gram", "df")).alias("found"))
-    open_ = reps.select("rid", "n", "doc_id", "key").join(shared, "rid").where(F.col("n") - F.size("found") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9))
+    open_ = reps.join(shared, "rid").where(F.col("n") - F.size("found") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9))
     open_ = durable(open_.select("rid", "n", "doc_id", "key", F.col("found.gram").alias("grams"), F.col("found.df").alias("dfs")))
+    del grams, held, shared
+    release(df.sparkSession)
     signed = open_.select("rid", "n", "grams", "dfs").mapInArrow(lambda b: _signed(b, least, rare), "sig long, rid long, n long")
     a, b = signed.select("sig", F.col("rid").alias("a"), F.col("n").alias("na")), signed.select("sig", F.col("rid").alias("b"), F.col("n").alias("nb"))
     found = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
