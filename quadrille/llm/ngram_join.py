@@ -38,9 +38,11 @@ U64 = np.uint64
 #: Words of an n-gram, and the least Jaccard similarity.
 N, LEAST = 3, 0.5
 #: Representatives that may hold an n-gram which is indexed by itself.
-RARE = 64
+RARE = 512
 #: N-grams of a document per class of frequent n-grams.
-PER_CLASS = 64
+PER_CLASS = 8
+#: Pairs that are made at once.
+SLICE = 1 << 21
 
 _LEFT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
@@ -115,7 +117,50 @@ def _signed(batches_: Iterator[pa.RecordBatch], least: float, rare: int) -> Iter
         for i in range(len(rid)):
             sig = signatures(int(size[i]), gram[at[i] : at[i + 1]], df[base[i] : base[i + 1]], least, rare)
             if len(sig):
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), rid[i])), pa.array(np.full(len(sig), size[i]))], ["sig", "rid", "n"])
+                sig = sig.view(np.int64)
+                # The document's signature before this one; before the first, something that no other document has.
+                before = np.concatenate((X.mix(rid[i : i + 1].view(U64) + U64(1)).view(np.int64), sig[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(before), pa.array(np.full(len(sig), rid[i])), pa.array(np.full(len(sig), size[i]))], ["sig", "before", "rid", "n"])
+
+
+def _meetings(sig: np.ndarray, before: np.ndarray, rid: np.ndarray, n: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of documents that meet in a signature, in the order of signatures and those before them.
+
+    Two documents that have the same signature before this one have met there already, so documents are paired only
+    with those of other predecessors: where many near copies meet again and again, this costs next to nothing.
+    """
+    new = np.concatenate(([True], sig[1:] != sig[:-1]))
+    inner = new | np.concatenate(([True], before[1:] != before[:-1]))
+    ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], len(sig)), np.diff(np.append(np.flatnonzero(first), len(sig))))
+    start, stop = ends(inner), ends(new)
+    count = stop - start
+    upto = np.cumsum(count)
+    known, place = np.unique(rid, return_inverse=True)
+    lo = 0
+    while lo < len(sig):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, side="right")))
+        own = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        j = np.repeat(start[lo:hi] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        near = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * least - 1e-9
+        i, j = place[i[near]], place[j[near]]
+        pair = np.unique(np.minimum(i, j) * len(known) + np.maximum(i, j))
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([pa.array(known[pair // len(known)]), pa.array(known[pair % len(known)])], ["a", "b"])
+        lo = hi
+
+
+def _met(batches_: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] | None = None
+    for batch in batches_:
+        rows = [c.to_numpy() for c in batch.columns]
+        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if whole:
+            yield from _meetings(*(c[:whole] for c in held), least)
+            held = [c[whole:] for c in held]
+    if held is not None and len(held[0]):
+        yield from _meetings(*held, least)
 
 
 def _open(df: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
@@ -147,9 +192,9 @@ def _edges(df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare
     open_ = durable(open_.select("rid", "n", "doc_id", "key", F.col("found.gram").alias("grams"), F.col("found.df").alias("dfs")))
     del grams, held, shared
     release(df.sparkSession)
-    signed = open_.select("rid", "n", "grams", "dfs").mapInArrow(lambda b: _signed(b, least, rare), "sig long, rid long, n long")
-    a, b = signed.select("sig", F.col("rid").alias("a"), F.col("n").alias("na")), signed.select("sig", F.col("rid").alias("b"), F.col("n").alias("nb"))
-    found = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
+    signed = open_.select("rid", "n", "grams", "dfs").mapInArrow(lambda b: _signed(b, least, rare), "sig long, before long, rid long, n long")
+    met = signed.repartition("sig").sortWithinPartitions("sig", "before").mapInArrow(lambda b: _met(b, least), "a long, b long")
+    found = met.distinct()
     side = lambda x: open_.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}"), F.col("doc_id").alias(f"i{x}"), F.col("key").alias(f"k{x}"))
     met = found.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
     met = met.withColumn("jaccard", F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).where(F.col("jaccard") >= least)
@@ -197,6 +242,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     edges = durable(_edges(df, id_col, text_col, n, least, rare))
     node = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("key"))
     label = components(edges.select(node("id_a", "key_a").alias("a"), node("id_b", "key_b").alias("b")))
-    gone = label.where("node <> root").select(F.col("node.id").alias("__id"), F.col("node.key").alias("__key"))
-    own = df.withColumn("__own", text_key(text_col))
-    return own.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    gone = label.where("node <> root").select(F.col("node.id").alias("gone_id"), F.col("node.key").alias("gone_key"))
+    own = df.select(F.struct("*").alias("own"), F.col(id_col).cast("long").alias("own_id"), text_key(text_col).alias("own_key"))
+    return own.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti").select("own.*")
