@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where that is unset, as in tests, one is made, and kept for the session."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
         named = tempfile.mkdtemp(prefix="quadrille-")
     if context.getCheckpointDir() is None:

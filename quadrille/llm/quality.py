@@ -124,7 +124,7 @@ def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Ite
             broken = np.array([bad for _, bad in rules])
             names = np.array([name for name, _ in rules])
             reasons = ["|".join(names[broken[:, i]]) if broken[:, i].any() else "" for i in range(hi - lo)]
-            columns = [ids[lo:hi], pa.array(m["n_words"].astype(np.int64))] + [pa.array(np.round(m[k], 6)) for k in MEASURES] + [pa.array(~broken.any(axis=0)), pa.array(reasons)]
+            columns = [ids[lo:hi], pa.array(m["n_words"].astype(np.int64))] + [pa.array(m[k].astype(np.float64)) for k in MEASURES] + [pa.array(~broken.any(axis=0)), pa.array(reasons)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", *MEASURES, "keep", "reasons"])
 
 

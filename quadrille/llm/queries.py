@@ -69,7 +69,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The words of a text, as a list.
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
+
+
+def _quality_sql() -> str:
+    """Repetition measures of one window function for each length."""
+    lower = "translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    gram = lambda n: " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER d" for k in range(1, n)]])
+    parts = []
+    for n in quality.DUPLICATE:
+        parts.append(f"""dup_{n} AS (
+    SELECT doc, sum(size) FILTER (inside) AS chars FROM (
+        SELECT doc, size, coalesce(max(again) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0) = 1 AS inside FROM (
+            SELECT doc, i, size, (g IS NOT NULL AND row_number() OVER (PARTITION BY doc, g ORDER BY i) > 1)::INT AS again
+            FROM (SELECT doc, i, size, {gram(n)} AS g FROM words WINDOW d AS (PARTITION BY doc ORDER BY i))))
+    GROUP BY doc)""")
+    for n in quality.TOP:
+        size = " + ".join(["size", *[f"lead(size, {k}) OVER d" for k in range(1, n)]])
+        parts.append(f"""top_{n} AS (
+    SELECT doc, max(c * s) AS chars FROM (
+        SELECT doc, c, s, max(c) OVER (PARTITION BY doc) AS most FROM (
+            SELECT doc, g, count(*) AS c, max(s) AS s
+            FROM (SELECT doc, {gram(n)} AS g, {size} AS s FROM words WINDOW d AS (PARTITION BY doc ORDER BY i)) WHERE g IS NOT NULL GROUP BY doc, g))
+    WHERE c = most AND c > 1 GROUP BY doc)""")
+    measures = [f"coalesce(dup_{n}.chars, 0)::DOUBLE / greatest(docs.chars, 1) AS dup_{n}" for n in quality.DUPLICATE]
+    measures += [f"CASE WHEN n_words >= {quality.TOP_FROM} THEN least(1.0::DOUBLE, coalesce(top_{n}.chars, 0)::DOUBLE / greatest(docs.chars, 1)) ELSE 0.0 END::DOUBLE AS top_{n}" for n in quality.TOP]
+    rules = [(f"dup_{n}", f"dup_{n} > {v}::DOUBLE") for n, v in quality.DUPLICATE.items()] + [(f"top_{n}", f"top_{n} > {v}::DOUBLE") for n, v in quality.TOP.items()]
+    rules += [(k, f"{k} > {v}::DOUBLE") for k, v in (("dup_lines", quality.LINES), ("dup_line_chars", quality.LINE_CHARS), ("symbols", quality.SYMBOLS), ("word_length", quality.LONG_WORD))]
+    rules.append(("few_words", f"n_words < {quality.FEW_WORDS}"))
+    reasons = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in rules)
+    joins = " ".join(f"LEFT JOIN {k} ON {k}.doc = docs.doc" for k in [f"dup_{n}" for n in quality.DUPLICATE] + [f"top_{n}" for n in quality.TOP] + ["sums", "lines"])
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT doc, regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+') AS l FROM docs),
+words AS (SELECT doc, i, {lower} AS w, len(w) AS size FROM (SELECT doc, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM listed)),
+sums AS (SELECT doc, count(*) AS n_words, sum(size) AS chars FROM words GROUP BY doc),
+lines AS (
+    SELECT doc, count(*) FILTER (r > 1)::DOUBLE / count(*) AS dup_lines, coalesce(sum(len(line)) FILTER (r > 1), 0)::DOUBLE / sum(len(line)) AS dup_line_chars
+    FROM (SELECT doc, line, row_number() OVER (PARTITION BY doc, line) AS r FROM (SELECT doc, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE line <> '')
+    GROUP BY doc),
+{", ".join(parts)},
+measured AS (
+    SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, {", ".join(measures)}, coalesce(dup_lines, 0.0)::DOUBLE AS dup_lines, coalesce(dup_line_chars, 0.0)::DOUBLE AS dup_line_chars,
+           len(regexp_replace(text, '[^!-/:-@\\[-`{{-~]', '', 'g'))::DOUBLE / greatest(len(text), 1) AS symbols, coalesce(docs.chars, 0)::DOUBLE / greatest(coalesce(n_words, 0), 1) AS word_length
+    FROM (SELECT docs.*, {", ".join(f"{k}" for k in ["sums.n_words", "sums.chars", "lines.dup_lines", "lines.dup_line_chars"])} FROM docs LEFT JOIN sums ON sums.doc = docs.doc LEFT JOIN lines ON lines.doc = docs.doc) docs {joins.replace(" LEFT JOIN sums ON sums.doc = docs.doc", "").replace(" LEFT JOIN lines ON lines.doc = docs.doc", "")})
+SELECT doc_id, n_words, {", ".join(quality.MEASURES)}, concat_ws('|', {reasons}) = '' AS keep, concat_ws('|', {reasons}) AS reasons
+FROM measured
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": _quality_sql(),
     "op1_ngram_jaccard_join": f"""
 WITH words AS (
     SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
