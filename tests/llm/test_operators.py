@@ -581,6 +581,39 @@ def test_alignment_by_brute_force():
         assert best.tolist() == [smith_waterman(a, x) for x in b]
 
 
+def test_items_leaked_into_many_documents(docs, spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(size))) for k, size in enumerate((40, 25))]
+    own = []
+    for k, text in items:
+        w = text.split()
+        copies = [w] * 80 + [w[int(len(w) * 0.4) :]] * 5 + [[x if rng.random() > share else f"other{rng.randrange(99)}" for x in w] for share in (0.1, 0.2, 0.25, 0.3) for _ in range(20)]
+        spread = w[:5] + [y for i in range(5, len(w), 2) for y in ["more", "words", *w[i : i + 2]]]
+        own += [(k, " ".join([prose(rng, 8), *c, prose(rng, 8)])) for c in [*copies, spread]]
+    exp = {}
+    for d, (_, t) in enumerate(own):
+        for i, x in items:
+            a, b = words(x), words(t)
+            if {tuple(a[j : j + 3]) for j in range(len(a) - 2)} & {tuple(b[j : j + 3]) for j in range(len(b) - 2)} and (score := smith_waterman(a, b) / (2 * len(a))) >= 0.5:
+                exp[(d, i)] = round(score, 6)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs([(d, t) for d, (_, t) in enumerate(own)]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: r["score"] for k, r in got.items()} == exp
+    assert all(round(smith_waterman(words(items[i][1]), words(own[d][1])[r["start_word"] : r["end_word"]]) / (2 * len(words(items[i][1]))), 6) == exp[(d, i)] for (d, i), r in got.items())
+
+
+def test_hits_in_parts_and_the_bound(monkeypatch):
+    own, items = contaminated()
+    index = decontaminate.Index(pa.array([t for _, t in items]), 3)
+    texts = pa.array([t or "" for _, t in own])
+    whole = [np.concatenate(c).tolist() for c in zip(*decontaminate._pairs(texts, index, 3, 0.5))]
+    monkeypatch.setattr(decontaminate, "HITS", 1)
+    assert [np.concatenate(c).tolist() for c in zip(*decontaminate._pairs(texts, index, 3, 0.5))] == whole
+    rng = random.Random(22)
+    for _ in range(60):
+        a, b = np.array([rng.randrange(1, 9) for _ in range(rng.randrange(1, 15))], np.uint64), np.array([[rng.randrange(9) for _ in range(6)] for _ in range(3)], np.uint64)
+        assert (decontaminate.bound(a, b) >= decontaminate.align(a, b)[0]).all()
+
+
 def test_very_long_texts(docs):
     long = prose(random.Random(20), 120_000, 50_000)
     df = docs([(1, long), (2, "short text of its own"), (3, long)])
