@@ -98,7 +98,7 @@ class Kind:
         self.pattern = re.compile(rf"(?<![{inside}]){pattern}(?![{inside}])" if inside else pattern, re.ASCII)
 
 
-_VALUE = r"""["']?[ \t]{0,3}(?:=|:|=>|:=)[ \t]{0,3}["']?([A-Za-z0-9+/_.\-!@#$%^&*~]{8,200}={0,2})"""
+_VALUE = r"""["']?[ \t]{0,3}(?:=|:|=>|:=)[ \t]{0,3}["']?([A-Za-z0-9+/_.\-!@#$%^&*~]{8,}={0,2})"""
 _NAMES = ["password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key"]
 
 KINDS = [

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import heapq
 import json
 import math
@@ -325,6 +326,13 @@ def test_secrets_by_brute_force():
         assert secret_scan.scan(found, text) == slow_scan(text)
 
 
+def test_long_assigned_secrets(docs):
+    rng = random.Random(23)
+    values = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (8, 200, 201, 360, 5000, 100_000)]
+    got = {r["doc_id"]: r for r in secret_scan.secrets(docs([(i, f'so token = "{v}" and more') for i, v in enumerate(values)])).collect()}
+    assert {i: (r["start_char"], r["end_char"], r["sha256"], r["valid"]) for i, r in got.items()} == {i: (len('so token = "'), len('so token = "') + len(v), hashlib.sha256(v.encode()).hexdigest(), True) for i, v in enumerate(values)}
+
+
 def test_checksum_alphabet():
     assert secret_scan.crc_62("") == "000000"
     n = zlib.crc32(b"abc")
