@@ -1,7 +1,7 @@
 """Secret scans: credentials in texts, checked by the checksums that they carry.
 
 An Aho-Corasick automaton finds the keywords that every secret of a kind starts with
-or follows; a kind's regular expression is tried only there, anchored at the
+or follows, another, over the text in lower case, those of kinds that ignore case; a kind's regular expression is tried only there, anchored at the
 keyword. What it matches is decoded and its checksum or inner structure
 computed anew, so that look-alikes are told from secrets.
 """
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -91,10 +92,10 @@ def _random(secret: str) -> bool:
 
 
 class Kind:
-    """keywords: what every secret of the kind has; pattern: anchored there, the secret its last group; check: None if it carries no checksum."""
+    """keywords: what every secret of the kind has, in lower case if the pattern ignores their case; pattern: anchored there, the secret its last group; check: None if it carries no checksum."""
 
-    def __init__(self, name: str, keywords: list[str], pattern: str, check: Callable[[str], bool] | None, inside: str = "A-Za-z0-9"):
-        self.name, self.keywords, self.check = name, keywords, check
+    def __init__(self, name: str, keywords: list[str], pattern: str, check: Callable[[str], bool] | None, inside: str = "A-Za-z0-9", folded: bool = False):
+        self.name, self.keywords, self.check, self.folded = name, keywords, check, folded
         self.pattern = re.compile(rf"(?<![{inside}]){pattern}(?![{inside}])" if inside else pattern, re.ASCII)
 
 
@@ -111,26 +112,34 @@ KINDS = [
     Kind("stripe_key", ["sk_live_", "rk_live_"], r"((?:sk|rk)_live_[A-Za-z0-9]{16,99})", None),
     Kind("google_api_key", ["AIza"], r"(AIza[A-Za-z0-9_-]{35})", None, "A-Za-z0-9_-"),
     Kind("gitlab_token", ["glpat-"], r"(glpat-[A-Za-z0-9_-]{20})", None, "A-Za-z0-9_-"),
-    Kind("assigned_secret", sorted({f(x) for x in _NAMES for f in (str, str.upper, str.capitalize)}), rf"(?i:{'|'.join(sorted(_NAMES, key=len, reverse=True))}){_VALUE}", _random, ""),
+    Kind("assigned_secret", _NAMES, rf"(?i:{'|'.join(sorted(_NAMES, key=len, reverse=True))}){_VALUE}", _random, "", folded=True),
 ]
 
 
-def automaton() -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    by: dict[str, list[int]] = {}
-    for i, kind in enumerate(KINDS):
-        for word in kind.keywords:
-            by.setdefault(word, []).append(i)
-    for word, kinds in by.items():
-        out.add_word(word, (len(word), kinds))
-    out.make_automaton()
+def automaton() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """One for texts as they are and one for texts in lower case."""
+    out = (ahocorasick.Automaton(), ahocorasick.Automaton())
+    for own, folded in zip(out, (False, True)):
+        by: dict[str, list[int]] = {}
+        for i, kind in enumerate(KINDS):
+            if kind.folded is folded:
+                for word in kind.keywords:
+                    by.setdefault(word, []).append(i)
+        for word, kinds in by.items():
+            own.add_word(word, (len(word), kinds))
+        own.make_automaton()
     return out
 
 
-def scan(found: ahocorasick.Automaton, text: str) -> list[tuple[str, int, int, str, bool | None]]:
+def lower(text: str) -> str:
+    """ASCII letters in lower case, so that every character stays in its place."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def scan(found: tuple[ahocorasick.Automaton, ahocorasick.Automaton], text: str) -> list[tuple[str, int, int, str, bool | None]]:
     """(kind, start, end, secret, valid) of the secrets of a text, in their order; of those of a kind that overlap, the first."""
     out, upto = [], [0] * len(KINDS)
-    for last, (size, kinds) in found.iter(text):
+    for last, (size, kinds) in chain(found[0].iter(text), found[1].iter(lower(text))):
         start = last + 1 - size
         for i in kinds:
             kind = KINDS[i]

@@ -333,6 +333,24 @@ def test_long_assigned_secrets(docs):
     assert {i: (r["start_char"], r["end_char"], r["sha256"], r["valid"]) for i, r in got.items()} == {i: (len('so token = "'), len('so token = "') + len(v), hashlib.sha256(v.encode()).hexdigest(), True) for i, v in enumerate(values)}
 
 
+def test_assigned_secrets_in_any_case(docs):
+    rng = random.Random(24)
+    names = ["apiKey", "ApiKey", "Api-Key", "Api_Key", "API_key", "Access_Key", "passWord", "PassWd", "clientSecret", "accessToken", "dbPASSWORD"]
+    made = [(i, f'Größe İıſK {n} = "9f8e7d6c5b4a39281706"') for i, n in enumerate(names)]
+    got = {r["doc_id"]: r for r in secret_scan.secrets(docs(made)).collect()}
+    assert {i: (r["kind"], r["start_char"], r["end_char"], r["valid"]) for i, r in got.items()} == {i: ("assigned_secret", t.index("9f8e"), len(t) - 1, True) for i, t in made}
+    found = secret_scan.automaton()
+    for _ in range(60):
+        text = " ".join("".join(rng.choice((c.lower(), c.upper())) for c in rng.choice(["secret", "api_key", "access_key", "toKen", "apikey", "paſſword"])) + rng.choice(["=", ": ", " is "]) + "ab12Cd34"[: rng.randrange(6, 9)] + "xY9" for _ in range(rng.randrange(5)))
+        text = rng.choice(["", "İ ", "é"]) + text
+        kind = next(k for k in secret_scan.KINDS if k.name == "assigned_secret")
+        exp, at = [], 0
+        while m := next((m for i in range(at, len(text)) if (m := kind.pattern.match(text, i))), None):
+            exp.append((kind.name, m.start(1), m.end(1), m[1], kind.check(m[1])))
+            at = m.end()
+        assert secret_scan.scan(found, text) == exp
+
+
 def test_checksum_alphabet():
     assert secret_scan.crc_62("") == "000000"
     n = zlib.crc32(b"abc")
