@@ -30,7 +30,16 @@ _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*+>|(!
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)[^>]*>")
 _SPACES = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "select", "xmp")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "noscript", "noframes", "textarea", "iframe", "title", "xmp")}
+#: What may hold its own kind: its end is the one that its start is paired with.
+_NESTED = {
+    t: re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){t}(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>""", re.I | re.S)
+    for t in ("svg", "select", "template")
+}
+#: What takes the rest of the page where it has no end.
+_ENDLESS = frozenset(("script", "style"))
+#: Tags that may stand in a head; any other, or text, ends it.
+_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var wbr img ins del label".split())
 #: What an opening tag closes, and how far out it looks for it.
@@ -59,16 +68,35 @@ def _open(stack: list[str], name: str) -> None:
                 return
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each element of a kind in _NESTED that has an end starts and ends."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in _NESTED[name].finditer(page):
+        if m[2]:
+            if begun:
+                out[begun.pop()] = m.end()
+        elif m[2] == "" and not (name == "svg" and m[0].endswith("/>")):
+            begun.append(m.start())
+    return out
+
+
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, whether a block begins before it) of the text leaves of a page, outside its head."""
     out: list[tuple[tuple[str, ...], str, bool]] = []
     stack: list[str] = []
     pos, broken = 0, True
     last = page.rfind(">")
+    ends: dict[str, dict[int, int]] = {}
+    endless: set[str] = set()
 
     def text(upto: int) -> None:
         nonlocal broken
-        if upto > pos and (found := _SPACES.sub(" ", page[pos:upto])) and "head" not in stack:
+        if upto > pos and (found := _SPACES.sub(" ", page[pos:upto])):
+            if "head" in stack:
+                if found == " ":
+                    return
+                del stack[stack.index("head") :]
             if found != " ":
                 out.append((tuple(stack), entities.unescape(found) if "&" in found else found, broken))
                 broken = False
@@ -94,18 +122,26 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
             if name in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(name) :]
             continue
+        if "head" in stack and name not in _HEAD:
+            del stack[stack.index("head") :]
         if name in _VOID:
             if name == "hr":
                 _open(stack, name)
             continue
-        if name in _RAW:
-            end = _RAW[name].search(page, at)
-            if not end:
+        if name in _NESTED:
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            pos = at = ends[name].get(m.start(), at)
+            continue
+        if name in _RAW and (name != "noframes" or "head" in stack):
+            end = None if name in endless else _RAW[name].search(page, at)
+            if end:
+                pos = at = end.end()
+            elif name in _ENDLESS:
                 return out
-            pos = at = end.end()
+            else:
+                endless.add(name)
             continue
-        if name == "body" and "head" in stack:
-            del stack[stack.index("head") :]
         _open(stack, name)
         stack.append(name)
     text(len(page))
@@ -184,8 +220,8 @@ def extracted(df: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """One row for each row of df: (page_id, text, n_leaves, n_kept).
 
     A null page has a null text; one that is empty, or has no prose, an empty text. Unclosed and crossed tags are closed as
-    browsers do with paragraphs, list items and table cells; an unclosed comment or script takes the rest of the
-    page. Texts of inline tags are joined, blocks are put on lines of their own. Null and repeated ids stay. An
+    browsers do with paragraphs, list items and table cells, and a head at the first tag or text that may not stand in
+    it; an unclosed comment, script or style takes the rest of the page, any other element no more than its own tag. Texts of inline tags are joined, blocks are put on lines of their own. Null and repeated ids stay. An
     empty table gives no rows. Other columns are not read.
     """
     batches(df.sparkSession)

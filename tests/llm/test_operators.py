@@ -443,6 +443,22 @@ def test_pages(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>T</title>", "<head><meta a=b><link>\n", "<head><style>p{}</style><noframes>no</noframes>", "<svg a=b/>", "<svg a='/>'><g>", "<select><option>", "<noscript>", "<template>", "<iframe src=x>", "<title>", "<textarea>", "<xmp>", "<svg><svg></svg>"])
+@pytest.mark.parametrize("end", ["", "<svg><text>no</text></svg>", "<select><select>no</select></select>", "<template><template></template>no</template>"])
+def test_unclosed_and_self_closed_tags_drop_nothing_else(start, end):
+    text = "This is long prose, of the page itself; it has marks. Is it kept? Yes."
+    for page in (f"{start}<p>{text}{end}", f"{start}<div>{text}</div>{end}", f"{start}<br>{text}{end}"):
+        assert html_text.extract(page)[0] == text
+
+
+def test_heads_end_at_text():
+    assert [t for _, t, _ in html_text.leaves("<head><title>T</title> \n plain <b>text</b>")] == [" plain ", "text"]
+    assert [t for _, t, _ in html_text.leaves("<p>a</p><head><p>b")] == ["a", "b"]
+    assert html_text.leaves("<head> <title>T</title> <!-- c --> <script>x</script> </head>") == []
+    assert [t for _, t, _ in html_text.leaves("<p>a<!-- <svg> --><svg><!-- </svg> -->no</svg>b<script>x")] == ["a", "b"]
+    assert len(html_text.leaves("<iframe><svg><select>x" * 20_000)) == 20_000
+
+
 def test_paths():
     assert html_text.distance(("a", "b", "c"), ("a", "c")) == 1 and html_text.distance((), ("a",)) == 1
     found = html_text.leaves("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table><p>f<div>g</div>")
