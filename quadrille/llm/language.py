@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from quadrille.llm import text as X
 from quadrille.llm.cluster import batches, slim
 
-#: Labelled rows that are fitted on, at most about so many of each language, and landmarks among them.
-PER_LANGUAGE, LANDMARKS = 400, 128
-#: Languages with fewer labelled rows are left out, and of more than MOST languages the rarest.
-FEWEST, MOST = 5, 200
+#: Labelled rows that are fitted on, at most about so many of each language, and landmarks among them; EACH of each language at least.
+PER_LANGUAGE, LANDMARKS, EACH = 400, 128, 2
+#: Languages with fewer labelled rows are left out.
+FEWEST = 5
 RIDGE = 1e-2
 LENGTHS = (1, 2, 3)
 
@@ -38,6 +38,8 @@ _CODE[128:] = np.arange(27, 155)
 _BASE = 155
 #: Texts of about so many bytes are scored at once.
 _BATCH = 1 << 20
+#: With more known n-grams than this, texts are scored in smaller batches.
+_KNOWN = 1 << 16
 
 
 def codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +70,9 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
+    def batch(self) -> int:
+        return _BATCH * _KNOWN // max(_KNOWN, sum(map(len, self.known)))
+
     def tables(self) -> list[np.ndarray]:
         out = []
         for n, known in zip(LENGTHS, self.known):
@@ -96,12 +101,12 @@ def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Landmarks are taken from all languages by turns, in the order of the rows."""
+    """Landmarks are taken from all languages by turns, in the order of the rows, at least EACH from each."""
     languages, which = np.unique(labels, return_inverse=True)
     rank = np.zeros(len(which), np.int64)
     for c in range(len(languages)):
         rank[which == c] = np.arange((which == c).sum())
-    chosen = np.lexsort((which, rank))[:landmarks]
+    chosen = np.lexsort((which, rank))[: max(landmarks, EACH * len(languages))]
     data, at = X.utf8(texts.take(pa.array(chosen)))
     owner, code = codes(data, at)
     known = [np.unique(grams(owner, code, n)[1]) for n in LENGTHS]
@@ -112,7 +117,7 @@ def fit(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS, ridge:
     value, vector = np.linalg.eigh(own)
     good = value > 1e-6 * max(value.max(), 1e-12) if len(value) else value > 0
     white = vector[:, good] / np.sqrt(value[good])
-    rows = [kernel(presence(d, a, tables, known), model.landmarks) for _, _, d, a in X.chunks(texts, _BATCH)]
+    rows = [kernel(presence(d, a, tables, known), model.landmarks) for _, _, d, a in X.chunks(texts, model.batch())]
     feature = np.concatenate(rows).astype(np.float64) @ white
     target = np.where(which[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Every language weighs the same.
@@ -136,7 +141,7 @@ def _identified(batches_: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
     tables, names = model.tables(), np.array(model.languages, object)
     for batch in batches_:
         ids = batch.column("doc_id")
-        for lo, hi, data, at in X.chunks(batch.column("text"), _BATCH):
+        for lo, hi, data, at in X.chunks(batch.column("text"), model.batch()):
             s, known = score(model, tables, data, at)
             order = np.sort(s, axis=1)
             best = s.argmax(axis=1)
@@ -148,7 +153,7 @@ def _identified(batches_: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
 def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> pa.Table:
     """Texts and labels of about per_language rows of each language, by a hash of the text, in an order that depends on nothing else."""
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    counts = rows.groupBy("label").count().where(F.col("count") >= FEWEST).orderBy(F.desc("count"), "label").limit(MOST).collect()
+    counts = rows.groupBy("label").count().where(F.col("count") >= FEWEST).orderBy(F.desc("count"), "label").collect()
     if not counts:
         return pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())})
     share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, per_language / r["count"])))])
@@ -163,7 +168,8 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "do
     margin is how far the score is above the second best. A text without any letter that the landmarks know, a
     null and an empty text have a null language. Fitting uses about per_language rows of each label, chosen by a
     hash of their texts; rows with a null text or label are not among them, and labels of fewer than FEWEST rows are
-    not learned. Without any label to learn all languages are null. Null and repeated ids stay. An empty table gives
+    not learned. All other labels are, however many: there are ``landmarks`` landmarks, or EACH for each label if that is
+    more, and the driver's memory grows with labels times landmarks. Without any label to learn all languages are null. Null and repeated ids stay. An empty table gives
     no rows. Other columns are not read.
     """
     spark = df.sparkSession

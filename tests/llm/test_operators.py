@@ -395,6 +395,19 @@ def test_kernel_by_brute_force():
             assert math.isclose(k[i, j], exp, abs_tol=1e-5)
 
 
+def test_more_labels_than_landmarks(docs):
+    rng = random.Random(25)
+    count = 210
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for _ in range(count)]
+    text = lambda c: " ".join(rng.choice(own[c]) + rng.choice(own[c]) for _ in range(20))
+    train = [(i, text(i % count), f"l{i % count:03}") for i in range(6 * count)]
+    labelled = docs([]).sparkSession.createDataFrame(train, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["language"] for r in language.identify(docs([(c, text(c)) for c in range(count)]), labelled).collect()}
+    right = [got[c] == f"l{c:03}" for c in range(count)]
+    assert sum(right) / count > 0.95 and sum(right[-10:]) >= 9
+    assert len(set(language.sample(labelled, "text", "lang", 400).column("label").to_pylist())) == count
+
+
 def test_languages_of_odd_rows(docs):
     rng = random.Random(12)
     own = [(i, spoken(rng, "en", 30)) for i in range(10)] + [(50, None), (51, ""), (52, "123 !!"), (None, spoken(rng, "en", 5))]
