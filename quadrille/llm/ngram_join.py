@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams are similar enough.
+"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams are similar enough, factored by copies; all_pairs() lists each.
 
 Prefixes in order of rarity. A census tells each document how many documents
 hold each of its n-grams. A document is similar to another only if they share one of
@@ -219,6 +219,24 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _edges(df, id_col, text_col, n, least, rare).select("id_a", "id_b", "jaccard")
 
 
+def all_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, least: float = LEAST, rare: int = RARE) -> DataFrame:
+    """(id_a, id_b, jaccard): what similar_pairs() has, expanded to every pair, copies with each other and with what is near to them.
+
+    A group of k copies gives k * (k - 1) / 2 rows, and two that are similar the product of their sizes besides.
+    """
+    edges = durable(_edges(df, id_col, text_col, n, least, rare))
+    node = lambda s: F.struct(F.col(f"id_{s}").alias("id"), F.col(f"key_{s}").alias("key"))
+    edges = edges.select(node("a").alias("a"), node("b").alias("b"), "jaccard")
+    # Different sets are never of similarity 1.
+    copies, near = edges.where("jaccard = 1"), edges.where("jaccard < 1")
+    reps = edges.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    members = reps.select("rep", F.col("rep").alias("own")).union(copies.select("a", "b"))
+    side = lambda s: members.select(F.col("rep").alias(s), F.col("own").alias(f"own_{s}"))
+    equal = side("a").join(members.select(F.col("rep").alias("a"), F.col("own").alias("own_b")), "a").where("own_a < own_b").select("own_a", "own_b", F.lit(1.0).alias("jaccard"))
+    other = near.join(side("a"), "a").join(side("b"), "b").select(F.least("own_a", "own_b").alias("own_a"), F.greatest("own_a", "own_b").alias("own_b"), "jaccard")
+    return equal.union(other).select(F.col("own_a.id").alias("id_a"), F.col("own_b.id").alias("id_b"), "jaccard")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the smallest node that it is connected with."""
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import math
 import random
@@ -187,6 +188,15 @@ def test_pairs_by_brute_force(docs, monkeypatch, rare, least, chunk):
     assert len(exp) > 10
 
 
+def test_all_pairs_by_brute_force(docs):
+    own = [(i, t) for i, t in corpus(5) if i is not None]
+    copy = prose(random.Random(26), 40)
+    own += [(900 + i, copy) for i in range(4)] + [(910 + i, copy + " and more") for i in range(3)] + [(900, copy), (901, copy + " and less")]
+    sets = {(i, t): shingles(t) for i, t in own if t is not None and words(t)}
+    exp = sorted((min(a[0], b[0]), max(a[0], b[0]), round(len(x & y) / len(x | y), 6)) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if len(x & y) / len(x | y) >= 0.5)
+    assert sorted((a, b, round(j, 6)) for a, b, j in rows(ngram_join.all_pairs(docs(own), least=0.5))) == exp and len(exp) > 20
+
+
 def test_small_classes_lose_no_pair():
     rng = random.Random(3)
     for _ in range(150):
