@@ -89,7 +89,7 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
             np.maximum.at(most, owner[many], equal[many])
             top = many & (equal == most[owner])
             np.maximum.at(best, owner[top], size[top])
-            out[f"top_{k}"] = np.where(count >= TOP_FROM, np.minimum(1.0, best / per), 0.0)
+            out[f"top_{k}"] = np.minimum(1.0, best / per)
     line = data == 10
     bounds = np.unique(np.concatenate((at, np.flatnonzero(line), np.flatnonzero(line) + 1)))
     first, last = bounds[:-1], bounds[1:]
@@ -110,17 +110,20 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 def verdict(m: dict[str, np.ndarray]) -> list[np.ndarray]:
     """The broken rules of each text: (name, where it is broken)."""
     rules = [(f"dup_{k}", m[f"dup_{k}"] > most) for k, most in DUPLICATE.items()]
-    rules += [(f"top_{k}", m[f"top_{k}"] > most) for k, most in TOP.items()]
+    rules += [(f"top_{k}", (m[f"top_{k}"] > most) & (m["n_words"] >= TOP_FROM)) for k, most in TOP.items()]
     rules += [("dup_lines", m["dup_lines"] > LINES), ("dup_line_chars", m["dup_line_chars"] > LINE_CHARS), ("symbols", m["symbols"] > SYMBOLS), ("word_length", m["word_length"] > LONG_WORD), ("few_words", m["n_words"] < FEW_WORDS)]
     return rules
 
 
-def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
+def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str, short: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches_:
         ids = batch.column(batch.schema.get_field_index(id_col))
         for lo, hi, data, at in X.chunks(batch.column(batch.schema.get_field_index(text_col))):
             m = measure(data, at)
             rules = verdict(m)
+            if not short:
+                for k in TOP:
+                    m[f"top_{k}"] = np.where(m["n_words"] >= TOP_FROM, m[f"top_{k}"], 0.0)
             broken = np.array([bad for _, bad in rules])
             names = np.array([name for name, _ in rules])
             reasons = ["|".join(names[broken[:, i]]) if broken[:, i].any() else "" for i in range(hi - lo)]
@@ -128,17 +131,19 @@ def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Ite
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", *MEASURES, "keep", "reasons"])
 
 
-def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row for each row of df: its id, its measures, keep, and the broken rules, joined by ``|``.
 
     A null, empty or blank text has no words and is rejected as ``few_words``, with all measures 0. A null id
     stays null. Repeated ids give repeated rows. An empty table gives no rows. Other columns are not read, so
-    their names cannot clash. Texts are measured whole, whatever their length.
+    their names cannot clash. Texts are measured whole, whatever their length, but
+    top_2 to top_4 of texts of fewer than TOP_FROM words are given as 0, unless ``short`` is set; their rules do not
+    hold for these in either case.
     """
     batches(df.sparkSession)
     schema = ", ".join(["doc_id long", "n_words long", *(f"{k} double" for k in MEASURES), "keep boolean", "reasons string"])
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(lambda b: _rows(b, "doc_id", "text"), schema)
+    return slim.mapInArrow(lambda b: _rows(b, "doc_id", "text", short), schema)
 
 
 def _passing(batches_: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:

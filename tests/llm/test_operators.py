@@ -144,6 +144,17 @@ def test_repetition_by_brute_force(docs):
             assert math.isclose(got[i][name], value, abs_tol=2e-6), (name, t[:200])
 
 
+def test_short_texts_are_measured_when_asked(docs, monkeypatch):
+    texts = ["buy now one buy now two buy now three buy now", "a b a b", "one two three", "", "ab " * 19, "ab " * 20]
+    got = {r["doc_id"]: r for r in quality.repetition(docs(enumerate(texts)), short=True).collect()}
+    zero = {r["doc_id"]: r for r in quality.repetition(docs(enumerate(texts))).collect()}
+    assert zero[0]["top_2"] == 0 and all((got[i]["keep"], got[i]["reasons"]) == (zero[i]["keep"], zero[i]["reasons"]) for i in got)
+    assert not any("top" in got[i]["reasons"] for i in range(5)) and "top_2" in got[5]["reasons"]
+    monkeypatch.setattr(quality, "TOP_FROM", 0)
+    for i, t in enumerate(texts):
+        assert all(math.isclose(got[i][name], value, abs_tol=2e-6) for name, value in shares(t).items())
+
+
 def test_quality_of_odd_rows(docs):
     df = docs([(1, None), (2, ""), (3, " \n"), (4, "Good prose with several words of its own."), (4, "Good prose with several words of its own."), (None, "Fine."), (5, "An " * 500), (6, "$$$ %%% &&&& ***")])
     got = [(r["doc_id"], r["keep"], r["reasons"]) for r in quality.repetition(df).collect()]
