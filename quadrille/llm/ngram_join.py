@@ -1,13 +1,12 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams are similar enough, factored by copies; all_pairs() lists each.
+"""N-gram Jaccard join: documents whose sets of word n-grams are similar enough.
 
 Prefixes in order of rarity. A census tells each document how many documents
 hold each of its n-grams. A document is similar to another only if they share one of
 its rarest n-grams: as many as its size lets differ, and one more. Those that
 nobody else has come first, so that most documents are done with here. What is
-left is collapsed into one representative of each distinct set, and n-grams are
-counted again among these.
+left is collapsed into one representative of each distinct set.
 
-Then token combinations: n-grams in up to RARE representatives are indexed one
+Then token combinations: n-grams in up to RARE documents are indexed one
 by one; the more frequent ones fall into classes by their hash and are indexed
 as pairs within a class, for which the prefix is extended by one n-gram for
 each class that it touches. A document with n n-grams covers
@@ -16,8 +15,13 @@ differences with a prefix, and the prefix ends once these exceed the number of
 n-grams that may be missing from a similar document. The number of classes
 follows the size of the smaller document of a pair, so that it stays far
 below the size. Of two similar documents, the one whose prefix ends first finds
-at least one rare n-gram or one pair of its prefix within the other's. All
-pairs so found are verified.
+at least one rare n-gram or one pair of its prefix within the other's.
+
+Two documents that meet in a rare n-gram are candidates if what both have after it
+still suffices; their first common one never rules them out. Candidates
+are verified where blocks of documents meet: representatives are numbered so that
+near copies are neighbours, and a list of n-grams travels once for each block that has
+candidates of its own, not once for each candidate.
 """
 
 from __future__ import annotations
@@ -27,24 +31,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import census
 from quadrille.llm import text as X
-from quadrille.llm.cluster import durable, release, slim, text_key
+from quadrille.llm.cluster import Shelf, slim, text_key
 
 U64 = np.uint64
 #: Words of an n-gram, and the least Jaccard similarity.
 N, LEAST = 3, 0.5
-#: Representatives that may hold an n-gram which is indexed by itself.
-RARE = 512
-#: N-grams of a document per class of frequent n-grams.
-PER_CLASS = 8
+#: Documents that may hold an n-gram which is indexed by itself; at most what a census tells apart.
+RARE = 64
+#: N-grams of a document per class of frequent n-grams, k: with the least similarity 1/2 a document of n frequent ones has
+#: about n (1/2 + 1/k)^2 k / 2 pairs in each division into classes: n for 2, 1.1 n for 4, 1.6 n for 8 and 8.5 n for 64, with a prefix n / k longer.
+PER_CLASS = 4
 #: Pairs that are made at once.
 SLICE = 1 << 21
+#: Documents of one signature that are paired in one task; more are paired block by block, in a task for each two blocks.
+HOT = 1 << 13
+#: Documents of a block of neighbours, and their n-grams.
+BLOCK, BLOCK_GRAMS = 128, 1 << 20
+
+_LEFT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("home", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.binary())])
+_SIGNED = pa.schema([("sig", pa.int64()), ("before", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+#: A pair of documents, or, with a block, a row of a signature with too many.
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("before", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("block", pa.int64())])
 
-_LEFT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+def _sql(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def may_differ(n: np.ndarray | int, least: float) -> np.ndarray:
@@ -53,7 +71,7 @@ def may_differ(n: np.ndarray | int, least: float) -> np.ndarray:
 
 
 def _left(table: pa.Table, n: int, least: float) -> pa.Table:
-    """The documents of a chunk that may still be similar to another, with their n-grams that others share."""
+    """The documents of a chunk; those that may be similar to another with their set's name and the n-grams that others share."""
     frozen, count = census.answers(table)
     texts = census.thaw(frozen)
     owner, gram = X.shingles(*X.utf8(texts.column("text")), n)
@@ -63,149 +81,386 @@ def _left(table: pa.Table, n: int, least: float) -> pa.Table:
     size = np.bincount(owner, minlength=docs)
     alone = np.bincount(owner[df == 1], minlength=docs)
     stays = (size > 0) & (alone <= may_differ(size, least))
-    sums = [np.zeros(docs + 1, U64), np.zeros(docs + 1, U64)]
+    names = []
     edge = np.searchsorted(owner, np.arange(docs + 1))
-    for s, salt in zip(sums, (0x1234567, 0x89ABCDEF)):
+    for salt in (0x1234567, 0x89ABCDEF):
         total = np.concatenate((np.zeros(1, U64), np.cumsum(X.mix(gram ^ U64(salt)), dtype=U64)))
-        s[:-1] = X.mix((total[edge[1:]] - total[edge[:-1]]) ^ X.mix(size.astype(U64)))
+        names.append(pa.array(X.mix((total[edge[1:]] - total[edge[:-1]]) ^ X.mix(size.astype(U64))).view(np.int64), mask=~stays))
     keep = stays[owner] & (df > 1)
-    shared = np.bincount(owner[keep], minlength=docs)[stays]
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(shared))), pa.int32()), pa.array(gram[keep].view(np.int64)))
-    mask = pa.array(stays)
-    return pa.Table.from_arrays([texts.column("doc_id").filter(mask), texts.column("key").filter(mask), pa.array(size[stays], pa.int64()), *[pa.array(s[:-1][stays].view(np.int64)) for s in sums], lists], schema=_LEFT)
+    shared = np.bincount(owner[keep], minlength=docs)
+    at = np.concatenate(([0], np.cumsum(shared)))
+    home = np.zeros(docs, U64)
+    if stays.any():
+        home[stays] = np.minimum.reduceat(X.mix(gram[keep]), at[:-1][stays])
+    # As signed numbers in the order of the unsigned ones.
+    home = pa.array((home ^ U64(1 << 63)).view(np.int64), mask=~stays)
+    offsets = pa.array(at, pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.array(gram[keep].view(np.int64)))
+    counts = pa.Array.from_buffers(pa.binary(), docs, [None, offsets.buffers()[1], pa.py_buffer(df[keep].tobytes())])
+    return pa.Table.from_arrays([texts.column("doc_id"), texts.column("key"), pa.array(size, pa.int32()), *names, home, lists, counts], schema=_LEFT)
 
 
 def _single(gram: np.ndarray, salt: int) -> np.ndarray:
     return X.mix(gram ^ X.mix(np.array([salt], U64)))
 
 
-def signatures(n: int, gram: np.ndarray, df: np.ndarray, least: float, rare: int, per_class: int = PER_CLASS) -> np.ndarray:
-    """What a document of n n-grams is indexed under; gram and df: those of them that others share."""
-    differ = may_differ(n, least)
-    need = differ + 1 - (n - len(gram))
-    if need <= 0:
-        return np.zeros(0, U64)
-    at = np.lexsort((gram, df))
-    gram, df = gram[at], df[at]
-    few = int((df <= rare).sum())
-    out = [_single(gram[: min(need, few)], 1)]
-    if n * least <= 2 and n - differ < 2 or n <= 2 / least:
-        # So small that a single shared n-gram can be enough: all of them, for documents as small as this.
-        out.append(_single(gram, 2))
-    if need > few:
-        frequent = gram[few:]
-        for scheme in range(max(0, math.floor(math.log2(max(1, math.ceil(n * least - 1e-9))))), math.floor(math.log2(n)) + 1):
-            classes = max(1, (1 << scheme) // per_class)
-            of = X.mix(frequent ^ U64(0xC1A55 + scheme)) % U64(classes)
-            by = np.argsort(of, kind="stable")
-            first = np.zeros(len(frequent), bool)
-            first[by[np.concatenate(([True], of[by][1:] != of[by][:-1]))]] = True
-            end = int(np.searchsorted(np.cumsum(~first), need - few)) + 1
-            for c in np.unique(of[:end]):
-                own = np.sort(frequent[:end][of[:end] == c])
-                i, j = np.triu_indices(len(own), 1)
-                out.append(X.mix(_single(own, 3 + scheme)[i] * U64(3) + own[j]))
+def _combined(n: int, frequent: np.ndarray, need: int, least: float, per_class: int) -> np.ndarray:
+    """The pairs of frequent n-grams, in the order of the prefix, that cover so many differences."""
+    out = []
+    for scheme in range(max(0, math.floor(math.log2(max(1, math.ceil(n * least - 1e-9))))), math.floor(math.log2(n)) + 1):
+        classes = max(1, (1 << scheme) // per_class)
+        of = X.mix(frequent ^ U64(0xC1A55 + scheme)) % U64(classes)
+        by = np.argsort(of, kind="stable")
+        first = np.zeros(len(frequent), bool)
+        first[by[np.concatenate(([True], of[by][1:] != of[by][:-1]))]] = True
+        end = int(np.searchsorted(np.cumsum(~first), need)) + 1
+        for c in np.unique(of[:end]):
+            own = np.sort(frequent[:end][of[:end] == c])
+            i, j = np.triu_indices(len(own), 1)
+            out.append(X.mix(_single(own, 3 + scheme)[i] * U64(3) + own[j]))
     return np.unique(np.concatenate(out))
 
 
+def indexed(n: np.ndarray, at: np.ndarray, gram: np.ndarray, count: np.ndarray, least: float, rare: int, per_class: int = PER_CLASS) -> tuple[np.ndarray, ...]:
+    """What documents of n n-grams are indexed under, given those that others share and by how many: document, signature,
+    whether it is the first of its kind there, and, of a single n-gram, how many of the document's come before it, else -1."""
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(n)), size)
+    order = np.lexsort((gram, count, owner))
+    gram, few = gram[order], count[order] <= rare
+    differ = may_differ(n, least)
+    # N-grams that nobody else has come first.
+    pos = np.arange(len(gram)) - at[owner] + (n - size)[owner]
+    singles = few & (pos <= differ[owner])
+    kinds = [(owner[singles], _single(gram[singles], 1), pos[singles])]
+    # So small that a single shared n-gram can be enough: all of them, for documents as small as this.
+    small = ((n * least <= 2) & (n - differ < 2) | (n <= 2 / least)) & (n - size <= differ)
+    every = small[owner]
+    kinds.append((owner[every], _single(gram[every], 2), np.full(every.sum(), -1)))
+    many = np.bincount(owner[few], minlength=len(n))
+    need = differ + 1 - (n - size)
+    for d in np.flatnonzero(need > many):
+        pairs = _combined(int(n[d]), gram[at[d] + many[d] : at[d + 1]], int(need[d] - many[d]), least, per_class)
+        kinds.append((np.full(len(pairs), d), pairs, np.full(len(pairs), -1)))
+    first = [np.concatenate((np.ones(min(1, len(d)), bool), d[1:] != d[:-1])) for d, _, _ in kinds]
+    doc, sig, pos = (np.concatenate(x) for x in zip(*kinds))
+    return doc, sig, np.concatenate(first), pos
+
+
+def signatures(n: int, gram: np.ndarray, df: np.ndarray, least: float, rare: int, per_class: int = PER_CLASS) -> np.ndarray:
+    """What one document is indexed under."""
+    return np.unique(indexed(np.array([n]), np.array([0, len(gram)]), gram, df, least, rare, per_class)[1])
+
+
 def _signed(batches_: Iterator[pa.RecordBatch], least: float, rare: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches_:
-        rid, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists, dfs = batch.column(2), batch.column(3)
-        at, gram, df = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64), dfs.values.to_numpy()
-        base = dfs.offsets.to_numpy()
-        for i in range(len(rid)):
-            sig = signatures(int(size[i]), gram[at[i] : at[i + 1]], df[base[i] : base[i + 1]], least, rare)
-            if len(sig):
-                sig = sig.view(np.int64)
-                # The document's signature before this one; before the first, something that no other document has.
-                before = np.concatenate((X.mix(rid[i : i + 1].view(U64) + U64(1)).view(np.int64), sig[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(before), pa.array(np.full(len(sig), rid[i])), pa.array(np.full(len(sig), size[i]))], ["sig", "before", "rid", "n"])
-
-
-def _meetings(sig: np.ndarray, before: np.ndarray, rid: np.ndarray, n: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    for whole in batches_:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            rid, size = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            lists, told = batch.column(2), batch.column(3)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            gram = lists.values.to_numpy().view(U64)[at[0] : at[-1]]
+            count = np.frombuffer(b"".join(told.to_pylist()), np.uint8)
+            doc, sig, first, pos = indexed(size, at - at[0], gram, count, least, rare)
+            # The document's signature before this one; before the first, something that no other document has.
+            before = np.empty(len(sig), U64)
+            before[1:] = sig[:-1]
+            before[first] = X.mix(rid[doc[first]].view(U64) + U64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(before.view(np.int64)), pa.array(rid[doc]), pa.array(size[doc], pa.int32()), pa.array(pos, pa.int32())], schema=_SIGNED)
+
+
+Rows = tuple[np.ndarray, ...]
+
+
+def _near(rows: Rows, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs that meet, those whose sizes and whose n-grams from the meeting on let them be similar."""
+    _, _, rid, n, pos = rows
+    a, b = n[i].astype(np.int64), n[j].astype(np.int64)
+    enough = np.minimum(a, b) >= np.maximum(a, b) * least - 1e-9
+    most = np.minimum(a - pos[i], b - pos[j])
+    enough &= (pos[i] < 0) | (most * (1 + least) >= (a + b) * least - 1e-9)
+    i, j = rid[i[enough]], rid[j[enough]]
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    known, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    pair = np.unique(place[: len(a)] * len(known) + place[len(a) :])
+    columns = [pa.array(known[pair // len(known)]), pa.array(known[pair % len(known)])] if len(pair) else [pa.array([], pa.int64())] * 2
+    return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(pair), f.type) for f in list(_MET)[2:])], schema=_MET)
+
+
+def _meetings(rows: Rows, least: float) -> Iterator[pa.RecordBatch]:
     """The pairs of documents that meet in a signature, in the order of signatures and those before them.
 
     Two documents that have the same signature before this one have met there already, so documents are paired only
-    with those of other predecessors: where many near copies meet again and again, this costs next to nothing.
+    with those of other predecessors: where many near copies meet again and again, this costs next to nothing. Single
+    n-grams follow each other in one order for all, so that the first that two documents share is never passed over.
     """
+    sig, before = rows[:2]
     new = np.concatenate(([True], sig[1:] != sig[:-1]))
     inner = new | np.concatenate(([True], before[1:] != before[:-1]))
     ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], len(sig)), np.diff(np.append(np.flatnonzero(first), len(sig))))
     start, stop = ends(inner), ends(new)
     count = stop - start
     upto = np.cumsum(count)
-    known, place = np.unique(rid, return_inverse=True)
     lo = 0
     while lo < len(sig):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, side="right")))
         own = count[lo:hi]
         i = np.repeat(np.arange(lo, hi), own)
         j = np.repeat(start[lo:hi] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        near = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * least - 1e-9
-        i, j = place[i[near]], place[j[near]]
-        pair = np.unique(np.minimum(i, j) * len(known) + np.maximum(i, j))
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(known[pair // len(known)]), pa.array(known[pair % len(known)])], ["a", "b"])
+        made = _pairs(*_near(rows, i, j, least))
+        if made.num_rows:
+            yield made
         lo = hi
 
 
-def _met(batches_: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] | None = None
+def _met(batches_: Iterator[pa.RecordBatch], least: float, hot: int) -> Iterator[pa.RecordBatch]:
+    """Pairs by signature; a signature with more than ``hot`` documents is passed on in blocks of as many."""
+    held: list[pa.RecordBatch] = []
+    rows = sent = 0
+
+    def blocks(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal sent
+        for batch in own:
+            block = (sent + np.arange(batch.num_rows)) // hot
+            sent += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.nulls(batch.num_rows, pa.int64()), batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(block)], schema=_MET)
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows, sent
+        if sent or rows > hot:
+            yield from blocks(held)
+        elif rows > 1:
+            table = pa.Table.from_batches(held)
+            yield from _meetings(tuple(c.to_numpy() for c in table.columns), least)
+        held, rows, sent = [], 0, 0
+
+    for batch in batches_:
+        if not batch.num_rows:
+            continue
+        sig = batch.column(0).to_numpy()
+        if held or sent:
+            last = held[-1].column(0)[-1].as_py() if held else last
+            cut = int(np.searchsorted(sig, last, side="right"))
+            held.append(batch.slice(0, cut))
+            rows += cut
+            if cut == len(sig):
+                held = [x for x in held if x.num_rows]
+                if sent or rows > hot:
+                    yield from blocks(held)
+                    held, rows = [], 0
+                continue
+            held = [x for x in held if x.num_rows]
+            yield from ended()
+            batch, sig = batch.slice(cut), sig[cut:]
+        cut = int(np.searchsorted(sig, sig[-1]))
+        if cut:
+            # Long signatures within a batch are no longer than the batch.
+            yield from _meetings(tuple(c.to_numpy() for c in batch.slice(0, cut).columns), least)
+        held, rows, last = [batch.slice(cut)], batch.num_rows - cut, sig[-1]
+    if held or sent:
+        yield from ended()
+
+
+def _across(table: pa.Table, least: float) -> pa.Table:
+    """The pairs of two blocks of a signature, or within one."""
+    table = table.sort_by([("block", "ascending"), ("before", "ascending")])
+    block = table.column("block").to_numpy()
+    rows = tuple(table.column(c).to_numpy() for c in ("sig", "before", "rid", "n", "pos"))
+    cut = int(np.searchsorted(block, block[-1]))
+    if not cut:
+        out = list(_meetings(rows, least))
+    else:
+        out, right = [], np.arange(cut, len(block))
+        step = max(1, SLICE // len(right))
+        for lo in range(0, cut, step):
+            left = np.arange(lo, min(cut, lo + step))
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+            other = rows[1][i] != rows[1][j]
+            out.append(_pairs(*_near(rows, i[other], j[other], least)))
+    return pa.Table.from_batches(out, _MET).select(["a", "b"])
+
+
+def _numbered(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Representatives in blocks: a place is the number of its block and a place of less than 256 there."""
+    block, slot, grams = (TaskContext.get().partitionId() << 36), 0, 0
     for batch in batches_:
-        rows = [c.to_numpy() for c in batch.columns]
-        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if whole:
-            yield from _meetings(*(c[:whole] for c in held), least)
-            held = [c[whole:] for c in held]
-    if held is not None and len(held[0]):
-        yield from _meetings(*held, least)
-
-
-def _open(df: DataFrame, id_col: str, text_col: str, n: int, least: float) -> DataFrame:
-    """The documents that the census leaves, each with a number."""
-    docs = slim(df, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("key"), "text")
-    told = census.told(census.sent(docs, lambda data, at: X.shingles(data, at, n)))
-    left = told.groupBy("chunk").applyInArrow(lambda t: _left(t, n, least), "doc_id long, key long, n long, f1 long, f2 long, grams array<long>")
-    return left.withColumn("rid", F.monotonically_increasing_id())
-
-
-def _ranked(left: DataFrame) -> DataFrame:
-    """Documents in the order of their ids among those of equal sets, and the first of these."""
-    same = Window.partitionBy("f1", "f2").orderBy("doc_id", "key")
-    slim_ = left.select("rid", "doc_id", "key", "n", "f1", "f2")
-    return slim_.withColumn("rank", F.row_number().over(same)).withColumn("rep_id", F.first("doc_id").over(same)).withColumn("rep_key", F.first("key").over(same)).drop("f1", "f2")
-
-
-def _edges(df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare: int) -> DataFrame:
-    """(id_a, key_a, id_b, key_b, jaccard) between representatives, and from each to its copies."""
-    left = durable(_open(df, id_col, text_col, n, least))
-    release(df.sparkSession)
-    ranked = durable(_ranked(left))
-    copies = ranked.where("rank > 1 AND (doc_id <> rep_id OR key <> rep_key)").select(F.col("rep_id").alias("id_a"), F.col("rep_key").alias("key_a"), F.col("doc_id").alias("id_b"), F.col("key").alias("key_b"), F.lit(1.0).alias("jaccard"))
-    reps = ranked.where("rank = 1").select("rid", "n", "doc_id", "key")
-    grams = left.select("rid", "grams").join(reps.select("rid"), "rid", "left_semi")
-    held = grams.select("rid", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_list("rid").alias("rids")).where("size(rids) > 1")
-    shared = held.select("gram", F.size("rids").alias("df"), F.explode("rids").alias("rid")).groupBy("rid").agg(F.collect_list(F.struct("gram", "df")).alias("found"))
-    open_ = reps.join(shared, "rid").where(F.col("n") - F.size("found") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9))
-    open_ = durable(open_.select("rid", "n", "doc_id", "key", F.col("found.gram").alias("grams"), F.col("found.df").alias("dfs")))
-    del grams, held, shared
-    release(df.sparkSession)
-    signed = open_.select("rid", "n", "grams", "dfs").mapInArrow(lambda b: _signed(b, least, rare), "sig long, before long, rid long, n long")
-    met = signed.repartition("sig").sortWithinPartitions("sig", "before").mapInArrow(lambda b: _met(b, least), "a long, b long")
-    found = met.distinct()
-    side = lambda x: open_.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}"), F.col("doc_id").alias(f"i{x}"), F.col("key").alias(f"k{x}"))
-    met = found.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
-    met = met.withColumn("jaccard", F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).where(F.col("jaccard") >= least)
-    swap = (F.col("ib") < F.col("ia")) | ((F.col("ib") == F.col("ia")) & (F.col("kb") < F.col("ka")))
-    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    near = met.select(pick("ia", "ib", "id_a"), pick("ka", "kb", "key_a"), pick("ib", "ia", "id_b"), pick("kb", "ka", "key_b"), "jaccard")
-    return copies.unionByName(near)
+        place = []
+        for n in batch.column("n").to_pylist():
+            if slot == BLOCK or slot and grams + n > BLOCK_GRAMS:
+                block, slot, grams = block + 1, 0, 0
+            place.append(block << 8 | slot)
+            slot, grams = slot + 1, grams + n
+        yield batch.append_column("place", pa.array(place, pa.int64()))
+
+
+def _similar(sa: np.ndarray, sb: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, at: np.ndarray, gram: np.ndarray, least: float) -> pa.RecordBatch:
+    """The pairs (rows with b >= 0) of sites whose lists (the other rows) are similar enough."""
+    site = np.cumsum(np.concatenate(([0], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1]))))
+    known = np.unique(np.concatenate((a, b)))
+    name = lambda s, x: s * len(known) + np.searchsorted(known, x)
+    pair = np.flatnonzero(b >= 0)
+    lists = np.flatnonzero(b < 0)
+    own = name(site[lists], a[lists])
+    order = np.argsort(own)
+    lists, own = lists[order], own[order]
+    x, y = (lists[np.searchsorted(own, name(site[pair], side[pair]))] for side in (a, b))
+    _, number = np.unique(gram, return_inverse=True)
+    mark = np.zeros(number.max(initial=-1) + 1, bool)
+    order = np.argsort(x, kind="stable")
+    x, y, pair = x[order], y[order], pair[order]
+    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    shared = np.zeros(len(x), np.int64)
+    for lo, hi in zip(edge, np.append(edge[1:], len(x))):
+        mine = number[at[x[lo]] : at[x[lo] + 1]]
+        mark[mine] = True
+        size = at[y[lo:hi] + 1] - at[y[lo:hi]]
+        ends = np.cumsum(size)
+        hit = mark[number[np.repeat(at[y[lo:hi]] - (ends - size), size) + np.arange(ends[-1])]]
+        total = np.concatenate(([0], np.cumsum(hit)))
+        shared[lo:hi] = total[ends] - total[ends - size]
+        mark[mine] = False
+    jaccard = shared / np.maximum(1, n[x].astype(np.int64) + n[y] - shared)
+    good = jaccard >= least
+    return pa.RecordBatch.from_arrays([pa.array(a[pair[good]]), pa.array(b[pair[good]]), pa.array(jaccard[good])], ["a", "b", "jaccard"])
+
+
+def _verified(batches_: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of sites, each with its lists and its pairs: whole sites are taken together up to BLOCK_GRAMS n-grams, or one."""
+
+    def taken(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(own).combine_chunks()
+        lists = table.column("grams").combine_chunks()
+        at = lists.offsets.to_numpy().astype(np.int64)
+        columns = [table.column(c).to_numpy() for c in ("sa", "sb", "a", "b", "n")]
+        return _similar(*columns, at - at[0], lists.values.to_numpy()[at[0] : at[-1]], least)
+
+    held: list[pa.RecordBatch] = []
+    grams = 0
+    for batch in batches_:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        grams += len(batch.column("grams").flatten())
+        if grams > BLOCK_GRAMS:
+            sa, sb = (batch.column(c).to_numpy() for c in ("sa", "sb"))
+            cut = int(np.flatnonzero((sa == sa[-1]) & (sb == sb[-1]))[0])
+            if cut or len(held) > 1 and any(held[-2].column(c)[-1].as_py() != s[0] for c, s in (("sa", sa), ("sb", sb))):
+                held[-1] = batch.slice(0, cut)
+                yield taken(held)
+                held = [batch.slice(cut)]
+                grams = len(held[0].column("grams").flatten())
+    if held:
+        yield taken(held)
+
+
+def _forest(batches_: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Fewer edges that connect the same: of up to ``most`` of a task's at once, those that join two trees."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def joined() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+        known, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        parent = list(range(len(known)))
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(place[: len(a)].tolist(), place[len(a) :].tolist())):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep[i] = True
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    for batch in batches_:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > most:
+            yield joined()
+            held, rows = [], 0
+    if rows:
+        yield joined()
+
+
+class Join:
+    """The tables of a join on a shelf.
+
+    members: (doc_id, key, f1, f2), a row for each row with an id and a text; f1 and f2 name the set of those that may be similar to others.
+    reps: (place, doc_id, key, f1, f2, weight), the first document of each such set, and how many documents have it.
+    edges: (a, b, jaccard), the places of similar representatives.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare: int, hot: int = HOT):
+        self.shelf = shelf = Shelf(df.sparkSession)
+        rare = min(rare, census.MOST - 1)
+        docs = slim(df, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("key"), "text")
+        told = census.told(census.sent(docs, lambda data, at: X.shingles(data, at, n)))
+        left = told.groupBy("chunk").applyInArrow(lambda t: _left(t, n, least), _sql(_LEFT))
+        left = shelf.keep(left.withColumn("rid", F.monotonically_increasing_id()))
+        self.members = shelf.keep(left.select("doc_id", "key", "f1", "f2"))
+        open_ = left.where("f1 IS NOT NULL")
+        own = open_.groupBy("f1", "f2", "doc_id", "key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("home").alias("home"))
+        sets = own.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "key", "rid")).alias("rep"), F.first("n").alias("n"), F.first("home").alias("home"), F.count("*").alias("weight"))
+        sets = shelf.keep(sets.select("rep.*", "f1", "f2", "n", "home", "weight"))
+        numbered = sets.repartitionByRange("home", "rid").sortWithinPartitions("home", "rid")
+        self.reps = shelf.keep(numbered.mapInArrow(_numbered, "doc_id long, key long, rid long, f1 long, f2 long, n int, home long, weight long, place long"))
+        lists = shelf.keep(open_.select("rid", "grams", "counts").join(self.reps.select("rid", "place", "n"), "rid").select("place", "n", "grams", "counts"))
+        shelf.drop(left, sets)
+        signed = lists.mapInArrow(lambda b: _signed(b, least, rare), _sql(_SIGNED))
+        met = shelf.keep(signed.repartition("sig").sortWithinPartitions("sig", "before").mapInArrow(lambda b: _met(b, least, hot), _sql(_MET)))
+        pairs = met.where("block IS NULL").select("a", "b")
+        many = met.where("block IS NOT NULL").select(F.col("a").alias("rid"), "sig", "before", "n", "pos", "block")
+        if many.limit(1).count():
+            blocks = many.groupBy("sig").agg(F.max("block").alias("last"))
+            both = many.join(blocks, "sig").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+            # A block is paired with itself once.
+            pairs = pairs.union(both.groupBy("sig", "x", "y").applyInArrow(lambda t: _across(t, least), "a long, b long"))
+        candidates = shelf.keep(pairs.distinct().select("a", "b", F.shiftright("a", 8).alias("sa"), F.shiftright("b", 8).alias("sb")))
+        shelf.drop(met)
+        asked = candidates.select("sa", "sb", F.col("a").alias("place")).union(candidates.select("sa", "sb", F.col("b").alias("place"))).distinct()
+        rows = asked.join(lists.select("place", "n", "grams"), "place").select("sa", "sb", F.lit(0).alias("kind"), F.col("place").alias("a"), F.lit(-1).cast("long").alias("b"), "n", "grams")
+        rows = rows.union(candidates.select("sa", "sb", F.lit(1).alias("kind"), "a", "b", F.lit(0), F.array().cast("array<long>")))
+        self.edges = shelf.keep(rows.repartition("sa", "sb").sortWithinPartitions("sa", "sb", "kind").mapInArrow(lambda b: _verified(b, least), "a long, b long, jaccard double"))
+        shelf.drop(candidates, lists)
+
+    def copies(self) -> DataFrame:
+        """(id_a, key_a, id_b, key_b): each first document of a set with the others that have it."""
+        first = self.reps.where("weight > 1").select("f1", "f2", F.col("doc_id").alias("id_a"), F.col("key").alias("key_a"))
+        joined = self.members.where("f1 IS NOT NULL").join(first, ["f1", "f2"]).where("doc_id <> id_a OR key <> key_a")
+        return joined.select("id_a", "key_a", F.col("doc_id").alias("id_b"), F.col("key").alias("key_b")).distinct()
+
+    def named(self, edges: DataFrame, *more: str) -> DataFrame:
+        """(id_a, key_a, id_b, key_b) of edges, the smaller first."""
+        side = lambda s: self.reps.select(F.col("place").alias(s), F.struct(F.col("doc_id").alias("id"), "key").alias(f"n{s}"))
+        both = edges.join(side("a"), "a").join(side("b"), "b").withColumns({"lo": F.least("na", "nb"), "hi": F.greatest("na", "nb")})
+        return both.select(F.col("lo.id").alias("id_a"), F.col("lo.key").alias("key_a"), F.col("hi.id").alias("id_b"), F.col("hi.key").alias("key_b"), *more)
+
+    def all_edges(self) -> DataFrame:
+        """(id_a, key_a, id_b, key_b, jaccard) between representatives, and from each to its copies."""
+        return self.copies().withColumn("jaccard", F.lit(1.0)).union(self.named(self.edges, "jaccard"))
+
+    def classes(self) -> DataFrame:
+        """(doc_id, key, root_id, root_key, n_links) of each member: the smallest document it is connected with, and how many are similar to it."""
+        node = lambda s: F.struct(F.col(f"id_{s}").alias("id"), F.col(f"key_{s}").alias("key")).alias(s)
+        forest = self.edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+        label = components(self.named(forest).select(node("a"), node("b")), self.shelf)
+        weight = lambda x, y: self.edges.select(F.col(x).alias("place"), F.col(y).alias("other"))
+        both = weight("a", "b").union(weight("b", "a")).join(self.reps.select(F.col("place").alias("other"), "weight"), "other")
+        links = both.groupBy("place").agg(F.sum("weight").alias("near"))
+        sets = self.reps.join(links, "place", "left").join(label.select(F.col("node.id").alias("doc_id"), F.col("node.key").alias("key"), "root"), ["doc_id", "key"], "left")
+        root = F.coalesce("root", F.struct(F.col("doc_id").alias("id"), "key"))
+        sets = self.shelf.keep(sets.select("f1", "f2", root.getField("id").alias("root_id"), root.getField("key").alias("root_key"), (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+        linked = self.members.where("f1 IS NOT NULL").distinct().join(sets, ["f1", "f2"]).select("doc_id", "key", "root_id", "root_key", "n_links")
+        return linked.union(self.members.where("f1 IS NULL").distinct().select("doc_id", "key", "doc_id", "key", F.lit(0).cast("long")))
 
 
 def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, least: float = LEAST, rare: int = RARE) -> DataFrame:
-    """(id_a, id_b, jaccard): the pairs of documents with a Jaccard similarity of n-gram sets of at least ``least``.
+    """(id_a, id_b, jaccard): the pairs of documents with a Jaccard similarity of n-gram sets of at least ``least``, factored by copies.
 
     Documents with equal sets are copies: the one with the smallest id represents them, is paired with each of
     them, and alone is paired with documents of other sets, so that a group of k copies gives k - 1 rows and not
@@ -216,7 +471,21 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents. An empty table gives no rows. Other columns are not read. Exact: every pair is found and
     verified. df has to be a scan or otherwise give the same rows when a task runs again.
     """
-    return _edges(df, id_col, text_col, n, least, rare).select("id_a", "id_b", "jaccard")
+    return Join(df, id_col, text_col, n, least, rare).all_edges().select("id_a", "id_b", "jaccard")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, least: float = LEAST, rare: int = RARE) -> DataFrame:
+    """(doc_id, class_id, n_links) for each document: the smallest id that it is connected with by similar pairs, its own if there is none, and to how many other documents it is similar itself.
+
+    Similar, words, and what counts as one document are as for similar_pairs(). Copies count as links, each, without being
+    expanded into pairs. A null or empty text, or one without words, has no links, a null id a null class. An
+    empty table gives no rows. Other columns are not read.
+    """
+    join = Join(df, id_col, text_col, n, least, rare)
+    found = join.classes().select("doc_id", F.col("root_id").alias("class_id"), "n_links")
+    docs = slim(df, id_col, text_col)
+    bare = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", text_key().alias("key")).distinct()
+    return found.union(bare.select("doc_id", "doc_id", F.lit(0).cast("long")))
 
 
 def all_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, least: float = LEAST, rare: int = RARE) -> DataFrame:
@@ -224,7 +493,8 @@ def all_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     A group of k copies gives k * (k - 1) / 2 rows, and two that are similar the product of their sizes besides.
     """
-    edges = durable(_edges(df, id_col, text_col, n, least, rare))
+    join = Join(df, id_col, text_col, n, least, rare)
+    edges = join.shelf.keep(join.all_edges())
     node = lambda s: F.struct(F.col(f"id_{s}").alias("id"), F.col(f"key_{s}").alias("key"))
     edges = edges.select(node("a").alias("a"), node("b").alias("b"), "jaccard")
     # Different sets are never of similarity 1.
@@ -237,19 +507,21 @@ def all_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return equal.union(other).select(F.col("own_a.id").alias("id_a"), F.col("own_b.id").alias("id_b"), "jaccard")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the smallest node that it is connected with."""
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+    shelf = shelf or Shelf(edges.sparkSession)
+    both = shelf.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = shelf.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("best"))
-        step = label.join(near, "node").select("node", F.least("root", "best").alias("next"), "root")
+        step = label.join(near, "node").select("node", F.least("root", "best").alias("next"), F.col("root").alias("was"))
         jump = label.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        step = durable(step.join(jump, "next").select("node", F.least("next", "far").alias("new"), "root"))
-        changed = step.where("new <> root").limit(1).count()
-        label = step.select("node", F.col("new").alias("root"))
-        if not changed:
-            return label
+        step = shelf.keep(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), "was"))
+        shelf.drop(label)
+        if not step.where("root <> was").limit(1).count():
+            shelf.drop(both)
+            return step.select("node", "root")
+        label = step
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, least: float = LEAST, rare: int = RARE) -> DataFrame:
@@ -257,9 +529,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     Rows without a pair stay, so rows with a null id or text do. Rows equal in id and text stay or go together.
     """
-    edges = durable(_edges(df, id_col, text_col, n, least, rare))
-    node = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("key"))
-    label = components(edges.select(node("id_a", "key_a").alias("a"), node("id_b", "key_b").alias("b")))
-    gone = label.where("node <> root").select(F.col("node.id").alias("gone_id"), F.col("node.key").alias("gone_key"))
+    found = Join(df, id_col, text_col, n, least, rare).classes()
+    gone = found.where("doc_id <> root_id OR key <> root_key").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     own = df.select(F.struct("*").alias("own"), F.col(id_col).cast("long").alias("own_id"), text_key(text_col).alias("own_key"))
     return own.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti").select("own.*")

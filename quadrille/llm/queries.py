@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,26 +120,25 @@ FROM measured
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _quality_sql(),
     "op1_ngram_jaccard_join": f"""
-WITH words AS (
+WITH RECURSIVE words AS (
     SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), grams AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
     FROM words WHERE len(w) > 0
-), sets AS (
-    SELECT doc_id, list(g ORDER BY g) AS s, count(*) AS n FROM grams GROUP BY doc_id
-), reps AS (
-    SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS rep FROM sets
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
 ), shared AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
-    FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
-    WHERE a.doc_id IN (SELECT rep FROM reps) AND b.doc_id IN (SELECT rep FROM reps)
-    GROUP BY 1, 2
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), pairs AS (
+    SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE o::DOUBLE / (x.n + y.n - o) >= 0.5
+), links AS (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+    SELECT a AS doc_id, b AS other FROM links UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a
 )
-SELECT a AS id_a, b AS id_b, o::DOUBLE / (x.n + y.n - o) AS jaccard
-FROM shared JOIN reps x ON a = x.doc_id JOIN reps y ON b = y.doc_id
-WHERE o::DOUBLE / (x.n + y.n - o) >= 0.5
-UNION ALL
-SELECT rep, doc_id, 1.0::DOUBLE FROM reps WHERE rep <> doc_id
+SELECT doc_id, least(doc_id, coalesce(r.class_id, doc_id)) AS class_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a) l USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id) r USING (doc_id)
 """,
     "op5_substring_dedup": f"""
 WITH words AS (

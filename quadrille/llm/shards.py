@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.cluster import batches, durable, partitions, text_key
+from quadrille.llm.cluster import Shelf, batches, partitions, text_key
 
 #: Shards unless told otherwise.
 SHARDS = 16
@@ -150,18 +150,19 @@ def shards(df: DataFrame, k: int = SHARDS, id_col: str = "doc_id", text_col: str
     nothing. An empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
-    batches(spark, 65536)
+    shelf = Shelf(spark)
+    batches(spark)
     tasks = partitions(spark)
     group = F.col(group_col or text_col).cast("string")
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), text_key(group).alias("g1"), F.coalesce(F.when(group.isNotNull(), F.hash(group, F.lit(7))), F.lit(0)).cast("long").alias("g2"))
     groups = docs.groupBy("g1", "g2").agg(F.sum("n_bytes").alias("bytes")).withColumn("node", F.pmod(F.xxhash64("g1", "g2"), F.lit(tasks)))
-    leaves = durable(groups.repartitionById(tasks, F.col("node").cast("int")).mapInArrow(lambda b: _leaves(b, k), "node long, g1 long, g2 long, part int, sums array<long>"))
+    leaves = shelf.keep(groups.repartitionById(tasks, F.col("node").cast("int")).mapInArrow(lambda b: _leaves(b, k), "node long, g1 long, g2 long, part int, sums array<long>"))
     level = leaves.where("sums IS NOT NULL").select("node", "sums")
     ways = leaves.where("sums IS NULL").select("node", "g1", "g2", "part")
     count = tasks
     while count > 1:
-        made = durable(level.groupBy(F.expr(f"node div {fan}").alias("up")).applyInArrow(lambda t: _united(t, fan), "node long, sums array<long>, kind int"))
+        made = shelf.keep(level.groupBy(F.expr(f"node div {fan}").alias("up")).applyInArrow(lambda t: _united(t, fan), "node long, sums array<long>, kind int"))
         level = made.where("kind = 0").select("node", "sums")
         goes = made.where("kind = 1").select("node", F.col("sums").alias("goes"))
         ways = ways.join(goes, "node").select(F.expr(f"node div {fan}").alias("node"), "g1", "g2", F.element_at("goes", F.col("part") + 1).cast("int").alias("part"))

@@ -190,8 +190,10 @@ def similar(documents, least=0.5):
     return out
 
 
-@pytest.mark.parametrize("rare,least,chunk", [(512, 0.5, 4 << 20), (1, 0.5, 500), (2, 0.7, 4 << 20), (1, 0.3, 4 << 20)])
-def test_pairs_by_brute_force(docs, monkeypatch, rare, least, chunk):
+@pytest.mark.parametrize("rare,least,hot", [(64, 0.5, 1 << 13), (1, 0.5, 3), (2, 0.7, 1 << 13), (1, 0.3, 5)])
+def test_pairs_by_brute_force(docs, monkeypatch, rare, least, hot):
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join.Join.__init__, "__defaults__", (hot,))
     own = [d for d in corpus(2, 40) if d != (3, "another text of id 3")]
     got = {(a, b): j for a, b, j in rows(ngram_join.similar_pairs(docs(own), least=least, rare=rare))}
     exp = similar(own, least)
@@ -199,6 +201,59 @@ def test_pairs_by_brute_force(docs, monkeypatch, rare, least, chunk):
     assert len(exp) > 10
 
 
+def linked(documents, least=0.5):
+    """Class and number of links of each document with an id, by comparing all with all."""
+    own = {d: shingles(d[1]) if d[1] else set() for d in set(d for d in documents if d[0] is not None)}
+    near = {d: [e for e in own if e != d and own[d] and own[e] and len(own[d] & own[e]) / len(own[d] | own[e]) >= least] for d in own}
+    out = {}
+    for d in own:
+        seen, todo = {d}, [d]
+        while todo:
+            for e in near[todo.pop()]:
+                if e not in seen:
+                    seen.add(e)
+                    todo.append(e)
+        out[d] = (min(e[0] for e in seen), len(near[d]))
+    return out
+
+
+@pytest.mark.parametrize("rare,hot", [(64, 1 << 13), (1, 4)])
+def test_classes_by_brute_force(docs, monkeypatch, rare, hot):
+    monkeypatch.setattr(ngram_join.Join.__init__, "__defaults__", (hot,))
+    rng = random.Random(41)
+    base = prose(rng, 90)
+    chain = [base]
+    for _ in range(6):
+        chain.append(edited(rng, chain[-1], 0.08))
+    own = [*corpus(40, 30), *((800 - i, t) for i, t in enumerate(chain)), *((900 + i, base) for i in range(5)), *((1000 + i, edited(rng, base, 0.04)) for i in range(25))]
+    got = rows(ngram_join.classes(docs(own), rare=rare))
+    exp = [(d[0], *v) for d, v in linked(own).items()] + [(None, None, 0)] * len({t for i, t in own if i is None})
+    assert sorted(map(str, got)) == sorted(map(str, exp)) and max(n for *_, n in got) > 25
+    assert ngram_join.classes(docs([])).count() == 0
+
+
+def test_frequent_n_grams_are_indexed_as_pairs():
+    """Documents of nothing but frequent n-grams have signatures of pairs alone, and similar ones meet in them."""
+    rng = random.Random(42)
+    universe = np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)
+    for _ in range(30):
+        a = rng.sample(range(400), 100)
+        b = a[:75] + rng.sample(sorted(set(range(400)) - set(a)), 25)
+        found = [ngram_join.indexed(np.array([100]), np.array([0, 100]), universe[s], np.full(100, 200, np.uint8), 0.5, 64) for s in (a, b)]
+        assert all((pos == -1).all() and len(sig) < 350 for _, sig, _, pos in found) and np.intersect1d(found[0][1], found[1][1]).size
+
+
+def test_meetings_of_a_hot_signature(docs, monkeypatch):
+    """A group of near copies of which every two are similar, far more than a block of a signature or of neighbours."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join.Join.__init__, "__defaults__", (8,))
+    rng = random.Random(43)
+    base = prose(rng, 60, 5000).split(" ")
+    own = [(i, " ".join([*base, f"own{i}", f"end{i}"])) for i in range(90)]
+    for rare in (2, 64):
+        assert sorted(rows(ngram_join.classes(docs(own), rare=rare))) == [(i, 0, 89) for i in range(90)]
+
+
 def test_all_pairs_by_brute_force(docs):
     own = [(i, t) for i, t in corpus(5) if i is not None]
     copy = prose(random.Random(26), 40)
