@@ -4,14 +4,16 @@ Recompression: rounds replace runs of equal symbols, and then pairs of a left
 and a right symbol, by names for them; which symbols are left and which right
 is drawn anew each round from the symbols themselves. A name is a fingerprint
 of what it stands for, so all executors give equal things equal names without
-asking each other. Symbols that stand for FROZEN words take no further part,
-so that what a round does at one place depends on a few words around it and
-equal passages get equal symbols but for a margin.
-
-A census of these high-level symbols reveals which are shared between
-documents. Only windows of WORDS words that hold a shared symbol go into a second
-census, which verifies them: a window counts if another document has it too. Their
-unions are the repeats, exact to the word.
+asking each other. Symbols of a level's size take no further part in it; the
+next level goes on from there to larger ones.
+
+Every symbol knows on which words around it the rounds that made it depended. Where a
+window of n words holds them all, each of its equals holds the same symbol. A
+census of the symbols tells which are in one document only, and rules out
+every window that holds all that such a symbol depended on. What is left, windows without
+any such symbol among them, goes into a second census, which verifies them: a window
+counts if another document has it too. The unions are the repeats, exact to
+the word, and none is missed.
 """
 
 from __future__ import annotations
@@ -27,42 +29,84 @@ from quadrille.llm.cluster import partitions, slim
 U64 = np.uint64
 #: Words of the shortest repeat.
 WORDS = 50
-#: Symbols of so many words are left alone; those of at least SHOWN words are compared.
-FROZEN, SHOWN, ROUNDS = 8, 5, 12
+#: The levels: symbols of this share of a window's words are left alone.
+LEVELS = (1 / 12, 1 / 4)
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_words", pa.int64())])
 
 
-def symbols(owner: np.ndarray, word: np.ndarray, rounds: int = ROUNDS, frozen: int = FROZEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words and lengths of the symbols that the words are compressed to."""
-    name, start, size = word.copy(), np.arange(len(word)), np.ones(len(word), np.int64)
-    for k in range(rounds):
-        if len(name) < 2:
-            break
+Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _round(owner: np.ndarray, edge: np.ndarray, state: Symbols, frozen: int, salt: int) -> Symbols:
+    """Runs, then pairs, of the symbols of fewer than ``frozen`` words."""
+    name, start, size, lo, hi = state
+
+    def sides(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the left and the right neighbours depend on; beside a text's end it is a place that no window has."""
+        of = owner[start]
+        ends = np.flatnonzero(of[1:] != of[:-1])
+        a, b, c, d = (np.empty_like(lo) for _ in range(4))
+        a[1:], b[1:], c[:-1], d[:-1] = lo[:-1], hi[:-1], lo[1:], hi[1:]
+        left, right = np.append(0, ends + 1), np.append(ends, len(of) - 1)
+        a[left], b[left] = edge[of[left]] - 1, hi[left]
+        c[right], d[right] = lo[right], edge[of[right] + 1] + 1
+        return a, b, c, d
+
+    together = owner[start[1:]] == owner[start[:-1]]
+    open_ = size < frozen
+    a, b, c, d = sides(lo, hi)
+    # An open symbol has looked for its equal on both sides; in a run, at the whole run.
+    lo = np.where(open_, np.minimum(np.minimum(lo, a), c), lo)
+    hi = np.where(open_, np.maximum(np.maximum(hi, b), d), hi)
+    joined = together & (name[1:] == name[:-1]) & open_[1:]
+    if joined.any():
+        head = np.flatnonzero(np.concatenate(([True], ~joined)))
+        long = np.diff(np.append(head, len(name)))
+        place = np.arange(len(name)) - np.repeat(head, long)
+        first = np.flatnonzero(place % -(-frozen // size) == 0)
+        count = np.diff(np.append(first, len(name))).astype(np.int32)
+        lo, hi = (np.repeat(f.reduceat(x, head), long)[first] for f, x in ((np.minimum, lo), (np.maximum, hi)))
+        name, start, size = name[first], start[first], size[first] * count
+        many = count > 1
+        name[many] = X.mix(name[many] * U64(0xD6E8FEB86659FD93) + count[many].astype(U64))
         together = owner[start[1:]] == owner[start[:-1]]
         open_ = size < frozen
-        # Runs, in pieces of up to `frozen` words.
-        joined = together & (name[1:] == name[:-1]) & open_[1:]
-        if joined.any():
-            head = np.flatnonzero(np.concatenate(([True], ~joined)))
-            long = np.diff(np.append(head, len(name)))
-            place = np.arange(len(name)) - np.repeat(head, long)
-            most = -(-frozen // size)
-            first = np.flatnonzero(place % most == 0)
-            count = np.diff(np.append(first, len(name)))
-            name, start, size = name[first], start[first], size[first] * count
-            many = count > 1
-            name[many] = X.mix(name[many] * U64(0xD6E8FEB86659FD93) + count[many].astype(U64))
-            together = owner[start[1:]] == owner[start[:-1]]
-            open_ = size < frozen
-        right = (X.mix(name ^ U64(0x5851F42D4C957F2D * (k + 1) & 0xFFFFFFFFFFFFFFFF)) >> U64(63)).astype(bool)
-        pair = np.flatnonzero(together & open_[:-1] & open_[1:] & ~right[:-1] & right[1:])
-        name[pair] = X.mix(name[pair] * U64(0x9FB21C651E98DF25) + X.mix(name[pair + 1]))
-        size[pair] += size[pair + 1]
-        stays = np.ones(len(name), bool)
-        stays[pair + 1] = False
-        name, start, size = name[stays], start[stays], size[stays]
-    return name, start, size
+    else:
+        name, size = name.copy(), size.copy()
+    right = (X.mix(name ^ U64(0x5851F42D4C957F2D * (salt + 1) & 0xFFFFFFFFFFFFFFFF)) >> U64(63)).astype(bool)
+    pair = np.flatnonzero(together & open_[:-1] & open_[1:] & ~right[:-1] & right[1:])
+    # A left symbol has looked to its right, a right one to its left; of a pair, at each other.
+    a, b, c, d = sides(lo, hi)
+    lo = np.where(open_, np.minimum(lo, np.where(right, a, c)), lo)
+    hi = np.where(open_, np.maximum(hi, np.where(right, b, d)), hi)
+    name[pair] = X.mix(name[pair] * U64(0x9FB21C651E98DF25) + X.mix(name[pair + 1]))
+    lo[pair], hi[pair] = np.minimum(lo[pair], lo[pair + 1]), np.maximum(hi[pair], hi[pair + 1])
+    size[pair] += size[pair + 1]
+    stays = np.ones(len(name), bool)
+    stays[pair + 1] = False
+    return tuple(x[stays] for x in (name, start, size, lo, hi))
+
+
+def symbols(owner: np.ndarray, edge: np.ndarray, word: np.ndarray, n: int) -> Symbols:
+    """Names, first words, lengths, and first and end of the words that they depend on, of the symbols that windows of n words can hold with all these."""
+    every = np.arange(len(word) + 1, dtype=np.int32)
+    state: Symbols = (word, every[:-1], np.ones(len(word), np.int32), every[:-1], every[1:])
+    shown: list[Symbols] = []
+    salt = 0
+    for share in LEVELS:
+        frozen = max(2, int(n * share))
+        before = state[1], state[2]
+        for _ in range(frozen.bit_length() + 1):
+            if len(state[0]) > 1:
+                state = _round(owner, edge, state, frozen, salt)
+            salt += 1
+        new = state[4] - state[3] <= n
+        if shown:
+            at = np.searchsorted(before[0], state[1])
+            new &= before[1][at] != state[2]
+        shown.append(tuple(x[new] for x in state))
+    return tuple(np.concatenate(x) for x in zip(*shown))
 
 
 def distinct(owner: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,17 +121,20 @@ def distinct(owner: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return o[new], v[new], place
 
 
-def _shown(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words by text, and names, first words and lengths of the symbols to compare."""
+def _shown(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of the words, where each text's words start, and text, name, and first and last window that a symbol rules out of each symbol."""
     owner, _, _, word = X.words(data, at)
-    name, start, size = symbols(owner, word)
-    show = size >= SHOWN
-    return owner, name[show], start[show], size[show]
+    edge = np.searchsorted(owner, np.arange(len(at)))
+    name, start, _, lo, hi = symbols(owner, edge, word, n)
+    of = owner[start]
+    first, last = np.maximum(hi - n, edge[of]), np.minimum(lo, edge[of + 1] - n)
+    some = first <= last
+    return owner, edge, of[some], name[some], np.stack((first[some], last[some]))
 
 
-def _names(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    owner, name, start, _ = _shown(data, at)
-    return distinct(owner[start], name)[:2]
+def _names(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    _, _, of, name, _ = _shown(data, at, n)
+    return distinct(of, name)[:2]
 
 
 def windows(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -98,26 +145,19 @@ def windows(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _suspects(table: pa.Table, parts: int, n: int) -> pa.Table:
-    """The windows of a chunk that hold a shared symbol, sent to be counted, with the texts that have any."""
+    """The windows of a chunk that no symbol rules out, sent to be counted, with the texts that have any."""
     key = table.column("chunk")[0].as_py()
     frozen, count = census.answers(table)
     texts = census.thaw(frozen)
-    owner, name, start, size = _shown(*X.utf8(texts.column("text")))
+    owner, edge, of, name, (first, last) = _shown(*X.utf8(texts.column("text")), n)
     docs = texts.num_rows
-    if len(name):
-        _, once, place = distinct(owner[start], name)
-        counts = np.empty(len(once), np.uint8)
-        counts[census.order(once)] = count
-        shared = counts[place] > 1
-        edge = np.searchsorted(owner, np.arange(docs + 1))
-        of = owner[start[shared]]
-        first = np.maximum(start[shared] + size[shared] - n, edge[of])
-        last = np.minimum(start[shared], edge[of + 1] - n)
-        some = first <= last
-        steps = np.bincount(first[some], minlength=len(owner) + 1) - np.bincount(last[some] + 1, minlength=len(owner) + 1)
-        suspect = np.flatnonzero(np.cumsum(steps)[: len(owner)] > 0)
-    else:
-        suspect, edge = np.zeros(0, np.int64), np.zeros(docs + 1, np.int64)
+    _, once, place = distinct(of, name)
+    counts = np.empty(len(once), np.uint8)
+    counts[census.order(once)] = count
+    alone = counts[place] == 1
+    steps = np.bincount(first[alone], minlength=len(owner) + 1) - np.bincount(last[alone] + 1, minlength=len(owner) + 1)
+    whole = np.arange(len(owner)) + n <= edge[owner + 1]
+    suspect = np.flatnonzero((np.cumsum(steps)[: len(owner)] == 0) & whole)
     if not len(suspect):
         return pa.Table.from_batches([census.batch_of([])])
     # The windows of a text as first ones and lengths of runs, counted from the text's own first word.
@@ -177,13 +217,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     the number of words of the document, and a span ends before end_word. What only repeats inside one document does not
     count. Every row is a document: rows equal in id and text repeat each other, and a null id stays null. A null or
     empty text, and one of fewer than n words, has no spans. An empty table gives no rows. Other columns are
-    not read. Spans are verified; a window is missed only if it shares no symbol with its equal, which takes a
-    margin of more than about (n - 2 * FROZEN) / 2 words on both sides. df has to be a scan or otherwise give the same rows
+    not read. Exact: spans are verified and none is missed.
+    df has to be a scan or otherwise give the same rows
     when a task runs again.
     """
     parts = partitions(df.sparkSession)
     docs = slim(df, id_col, text_col).where("text IS NOT NULL")
-    revealed = census.told(census.sent(docs, _names))
+    revealed = census.told(census.sent(docs, lambda data, at: _names(data, at, n)))
     suspects = revealed.groupBy("chunk").applyInArrow(lambda t: _suspects(t, parts, n), census.SENT)
     verified = census.told(suspects)
     return verified.groupBy("chunk").applyInArrow(lambda t: _repeats(t, n), "doc_id long, start_word long, end_word long, n_words long")

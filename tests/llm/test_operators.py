@@ -320,7 +320,7 @@ def repeated(documents, n):
     return out
 
 
-@pytest.mark.parametrize("n", [50, 40])
+@pytest.mark.parametrize("n", [50, 40, 20])
 def test_repeats_by_brute_force(docs, n):
     own = corpus(5)
     got, exp = rows(substrings.repeats(docs(own), n=n)), repeated(own, n)
@@ -335,16 +335,57 @@ def test_repeats_inside_one_document_do_not_count(docs):
     assert sorted(got) == [(1, 0, 70, 141), (1, 71, 141, 141), (2, 0, 70, 70)]
 
 
-def test_symbols_stand_for_what_they_cover():
+def passages(rng, kind, n):
+    """Two texts that share just n words, or n of a periodic passage."""
+    word = {"random": lambda: f"w{rng.randrange(50_000)}", "five": lambda: rng.choice("abcde"), "periodic": lambda: f"w{rng.randrange(50_000)}"}[kind]
+    passage = [word() for _ in range(n)]
+    if kind == "periodic":
+        period = passage[: rng.randrange(1, 9)]
+        passage = (period * n)[:n]
+    return [" ".join([word() for _ in range(rng.randrange(60))] + passage + [word() for _ in range(rng.randrange(60))]) for _ in range(2)]
+
+
+@pytest.mark.parametrize("kind", ["random", "five", "periodic"])
+@pytest.mark.parametrize("n", [16, 20, 33, 50])
+def test_no_repeated_window_is_ruled_out(kind, n):
+    rng = random.Random(n)
+    texts = [t for _ in range(1500) for t in passages(rng, kind, n)] + [passages(rng, kind, n)[0] for _ in range(20)]
+    owner, edge, of, name, (first, last) = substrings._shown(*X.utf8(pa.array(texts)), n)
+    once = np.unique(np.stack((of.astype(np.uint64), name)), axis=1)[1]
+    known, count = np.unique(once, return_counts=True)
+    alone = count[np.searchsorted(known, name)] == 1
+    steps = np.bincount(first[alone], minlength=len(owner) + 1) - np.bincount(last[alone] + 1, minlength=len(owner) + 1)
+    out = np.cumsum(steps) > 0
+    where = {}
+    for d, t in enumerate(texts):
+        w = t.split(" ")
+        for i in range(len(w) - n + 1):
+            where.setdefault(tuple(w[i : i + n]), set()).add((d, i))
+    repeated = [(d, i) for at in where.values() if len({d for d, _ in at}) > 1 for d, i in at]
+    assert len(repeated) >= 3000 and not any(out[edge[d] + i] for d, i in repeated)
+    windows = sum(map(len, where.values()))
+    assert kind == "five" or out.sum() > 0.6 * (windows - len(repeated))
+
+
+def test_symbols_stand_for_what_they_cover_and_follow_from_what_they_depend_on():
     rng = np.random.default_rng(0)
-    word = rng.integers(0, 30, 2000).astype(np.uint64)
-    owner = np.repeat([0, 1], 1000)
-    name, start, size = substrings.symbols(owner, X.mix(word))
-    assert (start + size == np.append(start[1:], 2000)).all() and 1000 in start and size.max() <= 2 * substrings.FROZEN
+    word = np.concatenate((rng.integers(0, 30, 1500), np.tile([1, 2, 3], 100), np.full(200, 7))).astype(np.uint64)
+    owner, edge = np.repeat([0, 1], 1000), np.array([0, 1000, 2000])
+    word = word + np.uint64(1 << 40)
+    whole = substrings.symbols(owner, edge, X.mix(word), 50)
     content = {}
-    for v, s, z in zip(name.tolist(), start.tolist(), size.tolist()):
+    for v, s, z in zip(*(x.tolist() for x in whole[:3])):
         assert content.setdefault(v, tuple(word[s : s + z])) == tuple(word[s : s + z])
-    assert len(set(content.values())) == len(content)
+    assert len(set(content.values())) == len(content) and max(map(len, content.values())) > 8
+    every = set(zip(*(x.tolist() for x in whole)))
+    for at in range(0, 1950, 7):
+        if at < 1000 < at + 50:
+            continue
+        # The window by itself, among other words.
+        other = np.concatenate((rng.integers(100, 130, 5), word[at : at + 50], rng.integers(100, 130, 5))).astype(np.uint64)
+        again = substrings.symbols(np.zeros(60, np.int64), np.array([0, 60]), X.mix(other), 50)
+        mine = {(v, s + at - 5, z, lo + at - 5, hi + at - 5) for v, s, z, lo, hi in zip(*(x.tolist() for x in again)) if lo >= 5 and hi <= 55}
+        assert mine == {x for x in every if x[3] >= at and x[4] <= at + 50}
 
 
 # Secret scans.
