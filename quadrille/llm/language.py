@@ -3,8 +3,7 @@
 The kernel of two texts is the blended spectrum of their n-grams of one to three
 bytes: how many of each length both have, over the geometric mean of how many
 each has, averaged over the lengths. N-grams count once a text. Nyström: texts are described by their
-kernels with a set of landmark texts, whitened by the landmarks' own kernels, over whose n-grams the
-kernel is taken; on that, ridge regressions of one language against the rest are fitted. Scoring
+kernels with a set of landmark texts, whitened by the landmarks' own kernels; on that, ridge regressions of one language against the rest are fitted. Scoring
 a batch is one product of its n-gram presence with the landmarks' and one with the weights.
 
 Fitting takes a bounded sample; everything else is done in one pass without a shuffle.
@@ -25,7 +24,7 @@ from quadrille.llm.cluster import batches, slim
 
 #: Labelled rows that are fitted on, at most about so many of each language, and landmarks among them; EACH of each language at least.
 PER_LANGUAGE, LANDMARKS, EACH = 400, 128, 2
-#: Languages with fewer labelled rows are left out.
+#: Languages with fewer labelled rows are left out, unless told otherwise.
 FEWEST = 5
 RIDGE = 1e-2
 LENGTHS = (1, 2, 3)
@@ -36,10 +35,8 @@ _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = np.arange(27, 155)
 _BASE = 155
-#: Texts of about so many bytes are scored at once.
-_BATCH = 1 << 20
-#: With more known n-grams than this, texts are scored in smaller batches.
-_KNOWN = 1 << 16
+#: Numbers in the presence of the texts that are scored at once.
+_CELLS = 1 << 24
 
 
 def codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +67,9 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def batch(self) -> int:
-        return _BATCH * _KNOWN // max(_KNOWN, sum(map(len, self.known)))
+    def rows(self) -> int:
+        """Texts that are scored at once."""
+        return max(1, _CELLS // max(1, sum(map(len, self.known))))
 
     def tables(self) -> list[np.ndarray]:
         out = []
@@ -83,15 +81,16 @@ class Model:
 
 
 def presence(data: np.ndarray, at: np.ndarray, tables: list[np.ndarray], known: list[np.ndarray]) -> list[np.ndarray]:
-    """For each length, which known n-grams each text has, over the root of how many."""
+    """For each length, which known n-grams each text has, over the root of how many n-grams, known or not, it has."""
     owner, code = codes(data, at)
     out = []
     for n, table, own in zip(LENGTHS, tables, known):
         o, g = grams(owner, code, n)
+        o, g = np.divmod(np.unique(o * _BASE**n + g), _BASE**n)
         place = table[g]
         p = np.zeros((len(at) - 1, len(own)), np.float32)
         p[o[place >= 0], place[place >= 0]] = 1
-        p /= np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        p /= np.sqrt(np.maximum(np.bincount(o, minlength=len(at) - 1), 1)).astype(np.float32)[:, None]
         out.append(p)
     return out
 
@@ -117,7 +116,7 @@ def fit(texts: pa.Array, labels: np.ndarray, landmarks: int = LANDMARKS, ridge:
     value, vector = np.linalg.eigh(own)
     good = value > 1e-6 * max(value.max(), 1e-12) if len(value) else value > 0
     white = vector[:, good] / np.sqrt(value[good])
-    rows = [kernel(presence(d, a, tables, known), model.landmarks) for _, _, d, a in X.chunks(texts, model.batch())]
+    rows = [kernel(presence(d, a, tables, known), model.landmarks) for _, _, d, a in X.chunks(texts, rows=model.rows())]
     feature = np.concatenate(rows).astype(np.float64) @ white
     target = np.where(which[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Every language weighs the same.
@@ -141,7 +140,7 @@ def _identified(batches_: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
     tables, names = model.tables(), np.array(model.languages, object)
     for batch in batches_:
         ids = batch.column("doc_id")
-        for lo, hi, data, at in X.chunks(batch.column("text"), model.batch()):
+        for lo, hi, data, at in X.chunks(batch.column("text"), rows=model.rows()):
             s, known = score(model, tables, data, at)
             order = np.sort(s, axis=1)
             best = s.argmax(axis=1)
@@ -150,10 +149,10 @@ def _identified(batches_: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([ids[lo:hi], *columns], ["doc_id", "language", "score", "margin"])
 
 
-def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> pa.Table:
+def sample(df: DataFrame, text_col: str, label_col: str, per_language: int, fewest: int = FEWEST) -> pa.Table:
     """Texts and labels of about per_language rows of each language, by a hash of the text, in an order that depends on nothing else."""
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    counts = rows.groupBy("label").count().where(F.col("count") >= FEWEST).orderBy(F.desc("count"), "label").collect()
+    counts = rows.groupBy("label").count().where(F.col("count") >= fewest).orderBy(F.desc("count"), "label").collect()
     if not counts:
         return pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())})
     share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, per_language / r["count"])))])
@@ -162,12 +161,12 @@ def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> p
     return chosen.orderBy(F.xxhash64("text", F.lit(1)), "label").toArrow()
 
 
-def identify(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> DataFrame:
+def identify(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, fewest: int = FEWEST) -> DataFrame:
     """One row for each row of df: (doc_id, language, score, margin), by a classifier fitted on labelled, or on df itself.
 
-    margin is how far the score is above the second best. A text without any letter that the landmarks know, a
+    margin is how far the score is above the second best; of equal scores the first language by name counts. A text without any letter that the landmarks know, a
     null and an empty text have a null language. Fitting uses about per_language rows of each label, chosen by a
-    hash of their texts; rows with a null text or label are not among them, and labels of fewer than FEWEST rows are
+    hash of their texts; rows with a null text or label are not among them, and labels of fewer than ``fewest`` rows are
     not learned. All other labels are, however many: there are ``landmarks`` landmarks, or EACH for each label if that is
     more, and the driver's memory grows with labels times landmarks. Without any label to learn all languages are null. Null and repeated ids stay. An empty table gives
     no rows. Other columns are not read.
@@ -175,7 +174,7 @@ def identify(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "do
     spark = df.sparkSession
     batches(spark)
     docs = slim(df, id_col, text_col)
-    rows = sample(labelled if labelled is not None else df, text_col, label_col, per_language)
+    rows = sample(labelled if labelled is not None else df, text_col, label_col, per_language, fewest)
     if not rows.num_rows:
         return docs.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("margin"))
     model = spark.sparkContext.broadcast(fit(rows.column("text").combine_chunks(), np.array(rows.column("label").to_pylist(), object), landmarks))

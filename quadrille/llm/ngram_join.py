@@ -183,14 +183,41 @@ def _near(rows: Rows, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.nd
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    known, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    pair = np.unique(place[: len(a)] * len(known) + place[len(a) :])
-    columns = [pa.array(known[pair // len(known)]), pa.array(known[pair % len(known)])] if len(pair) else [pa.array([], pa.int64())] * 2
-    return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(pair), f.type) for f in list(_MET)[2:])], schema=_MET)
-
-
-def _meetings(rows: Rows, least: float) -> Iterator[pa.RecordBatch]:
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+class _Pairs:
+    """The pairs that a task finds, each once as long as there are not too many."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows, self.most = 0, 2 * SLICE
+
+    def add(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b in pairs:
+            self.held.append((a, b))
+            self.rows += len(a)
+            if self.rows > self.most:
+                a, b = _distinct(self.held)
+                self.held, self.rows = [(a, b)], len(a)
+                if 2 * self.rows > self.most:
+                    yield from self.left()
+
+    def left(self) -> Iterator[pa.RecordBatch]:
+        a, b = _distinct(self.held)
+        self.held, self.rows = [], 0
+        for lo in range(0, len(a), 1 << 16):
+            own = a[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(b[lo : lo + len(own)]), *(pa.nulls(len(own), f.type) for f in list(_MET)[2:])], schema=_MET)
+
+
+def _meetings(rows: Rows, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of documents that meet in a signature, in the order of signatures and those before them.
 
     Two documents that have the same signature before this one have met there already, so documents are paired only
@@ -210,9 +237,7 @@ def _meetings(rows: Rows, least: float) -> Iterator[pa.RecordBatch]:
         own = count[lo:hi]
         i = np.repeat(np.arange(lo, hi), own)
         j = np.repeat(start[lo:hi] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        made = _pairs(*_near(rows, i, j, least))
-        if made.num_rows:
-            yield made
+        yield _distinct([_near(rows, i, j, least)])
         lo = hi
 
 
@@ -220,6 +245,7 @@ def _met(batches_: Iterator[pa.RecordBatch], least: float, hot: int) -> Iterator
     """Pairs by signature; a signature with more than ``hot`` documents is passed on in blocks of as many."""
     held: list[pa.RecordBatch] = []
     rows = sent = 0
+    found = _Pairs()
 
     def blocks(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal sent
@@ -234,7 +260,7 @@ def _met(batches_: Iterator[pa.RecordBatch], least: float, hot: int) -> Iterator
             yield from blocks(held)
         elif rows > 1:
             table = pa.Table.from_batches(held)
-            yield from _meetings(tuple(c.to_numpy() for c in table.columns), least)
+            yield from found.add(_meetings(tuple(c.to_numpy() for c in table.columns), least))
         held, rows, sent = [], 0, 0
 
     for batch in batches_:
@@ -258,10 +284,11 @@ def _met(batches_: Iterator[pa.RecordBatch], least: float, hot: int) -> Iterator
         cut = int(np.searchsorted(sig, sig[-1]))
         if cut:
             # Long signatures within a batch are no longer than the batch.
-            yield from _meetings(tuple(c.to_numpy() for c in batch.slice(0, cut).columns), least)
+            yield from found.add(_meetings(tuple(c.to_numpy() for c in batch.slice(0, cut).columns), least))
         held, rows, last = [batch.slice(cut)], batch.num_rows - cut, sig[-1]
     if held or sent:
         yield from ended()
+    yield from found.left()
 
 
 def _across(table: pa.Table, least: float) -> pa.Table:
@@ -279,8 +306,8 @@ def _across(table: pa.Table, least: float) -> pa.Table:
             left = np.arange(lo, min(cut, lo + step))
             i, j = np.repeat(left, len(right)), np.tile(right, len(left))
             other = rows[1][i] != rows[1][j]
-            out.append(_pairs(*_near(rows, i[other], j[other], least)))
-    return pa.Table.from_batches(out, _MET).select(["a", "b"])
+            out.append(_near(rows, i[other], j[other], least))
+    return pa.table(dict(zip("ab", map(pa.array, _distinct(out)))))
 
 
 def _numbered(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

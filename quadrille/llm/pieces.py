@@ -6,14 +6,15 @@ and units are cut wherever two characters stand next to each other that do so in
 piece, across which nothing can merge. Each distinct unit of an Arrow batch is encoded
 once: short ones side by side, with the agendas of all of them in one array of
 which every round takes each unit's best pair, and long ones with a heap of their
-own. The sentencepiece library encodes the same units, and each text says whether
-both agree on all of its units.
+own. The sentencepiece library encodes the same texts whole, batch by batch, and each
+text says whether both agree.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,6 @@ class Vocabulary:
         for i in normal:
             k = self.kind[[ord(c) for c in pieces[i]]]
             self.beside[k[:-1], k[1:]] = True
-        # A character in no longer piece, before which the library's own leading space stays apart from a unit.
-        self.apart = next(chr(c) for c in (10, 1, 2, 3) if not self.kind[c])
-        self.lead = len(self.library.encode(self.apart))
         self.byte = np.zeros(256, np.int32)
         out = []
         for i in range(n):
@@ -205,25 +203,22 @@ class Vocabulary:
         one, which = one[order], back[which]
         ids, count = self.units(codes, start[one], end[one])
         offset = np.concatenate(([0], np.cumsum(count)))
-        same = np.ones(len(one), bool)
-        if check:
-            whole = whole.replace("▁", " ")
-            theirs = self.library.encode([self.apart + whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())], num_threads=1)
-            theirs = [t[self.lead :] for t in theirs]
-            length = np.array([len(t) for t in theirs])
-            flat = np.array([i for t in theirs for i in t], np.int32)
-            even = length == count
-            if even.all():
-                differs = np.flatnonzero(flat != ids)
-                same[np.searchsorted(offset, differs, side="right") - 1] = False
-            else:
-                same = np.array([t == ids[offset[i] : offset[i + 1]].tolist() for i, t in enumerate(theirs)])
         each = count[which]
         out = ids[np.repeat(offset[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
         of = np.searchsorted(first + size, start, side="right")
-        agrees = np.ones(len(texts), bool)
-        agrees[of[~same[which]]] = False
-        return out, np.bincount(of, weights=each, minlength=len(texts)).astype(np.int64), agrees
+        of = np.bincount(of, weights=each, minlength=len(texts)).astype(np.int64)
+        return out, of, self.agrees(texts, out, of) if check else np.ones(len(texts), bool)
+
+    def agrees(self, texts: list[str], ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether the library gives each text, as a whole, these ids."""
+        theirs = self.library.encode(texts, out_type=int, num_threads=1)
+        same = np.array([len(t) for t in theirs], np.int64) == count
+        at = np.concatenate(([0], np.cumsum(count)))
+        if same.all():
+            differs = np.flatnonzero(np.fromiter(chain.from_iterable(theirs), np.int32, len(ids)) != ids)
+            same[np.searchsorted(at, differs, side="right") - 1] = False
+            return same
+        return np.array([t == ids[at[i] : at[i + 1]].tolist() for i, t in enumerate(theirs)], bool)
 
     def decode(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
         """The bytes of texts, given their ids one after another."""
@@ -261,7 +256,7 @@ def _encoded(batches_: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Re
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row for each row of df: (doc_id, n_tokens, ids, agrees, round_trip).
 
-    agrees: the library gives every unit of the text the same ids. round_trip: decoding gives the text back,
+    agrees: the library gives the text, encoded as a whole, the same ids. round_trip: decoding gives the text back,
     which only a text with the character U+2581, which stands for spaces, lacks. An empty text has no ids. A null
     text has nulls. Null and repeated ids stay. An empty table gives no rows. Other columns are not read. The model
     file is read on the driver and sent to the executors, being of fixed size.

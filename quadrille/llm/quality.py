@@ -1,6 +1,7 @@
 """Quality rules: how much of a text lies in repeated n-grams and lines.
 
-Rolling hashes over the words give every n-gram of several lengths; an
+Rolling hashes over the words give every n-gram of several lengths, each length's from
+those of the length before by one word more; an
 occurrence is a duplicate if the same n-gram has started earlier in the same
 text. The rules compare the share of characters inside duplicates with
 limits that get stricter as the n-grams get longer. One pass, no shuffle.
@@ -28,7 +29,7 @@ LINES, LINE_CHARS = 0.30, 0.20
 SYMBOLS = 0.25
 #: Largest mean word length, in characters, and least number of words.
 LONG_WORD, FEW_WORDS = 25.0, 1
-#: Top n-grams count only from this number of words on; in shorter texts any two equal pairs would pass the limit.
+#: The rules on top n-grams hold only from this number of words on; in shorter texts any two equal pairs would pass the limit.
 TOP_FROM = 20
 
 _SYMBOL = np.zeros(256, bool)
@@ -69,13 +70,14 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     out = {"n_words": count, "word_length": chars / np.maximum(count, 1)}
     upto = np.concatenate(([0], np.cumsum(length)))
     # An n-gram can only be repeated where its first n - 1 words are, so each length looks at what the one before left.
-    open_ = np.arange(len(word))
+    where, rolled = np.arange(len(word)), word
     for k in range(2, max(*DUPLICATE, *TOP) + 1):
-        open_ = open_[open_ + k <= len(word)]
-        where = open_[doc[open_] == doc[open_ + k - 1]]
+        inside = where + k <= len(word)
+        inside[inside] = doc[where[inside]] == doc[where[inside] + k - 1]
+        where = where[inside]
+        rolled = X.longer(rolled[inside], word[where + k - 1])
         owner = doc[where]
-        seen, equal = _earlier(owner, X.rolled(word, where, k))
-        open_ = where[equal > 1]
+        seen, equal = _earlier(owner, X.mix(rolled))
         if k in DUPLICATE:
             later = where[seen]
             step = np.bincount(later, minlength=len(word) + 1) - np.bincount(later + k, minlength=len(word) + 1)
@@ -90,6 +92,8 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
             top = many & (equal == most[owner])
             np.maximum.at(best, owner[top], size[top])
             out[f"top_{k}"] = np.minimum(1.0, best / per)
+        again = equal > 1
+        where, rolled = where[again], rolled[again]
     line = data == 10
     bounds = np.unique(np.concatenate((at, np.flatnonzero(line), np.flatnonzero(line) + 1)))
     first, last = bounds[:-1], bounds[1:]
@@ -115,15 +119,12 @@ def verdict(m: dict[str, np.ndarray]) -> list[np.ndarray]:
     return rules
 
 
-def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str, short: bool) -> Iterator[pa.RecordBatch]:
+def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches_:
         ids = batch.column(batch.schema.get_field_index(id_col))
         for lo, hi, data, at in X.chunks(batch.column(batch.schema.get_field_index(text_col))):
             m = measure(data, at)
             rules = verdict(m)
-            if not short:
-                for k in TOP:
-                    m[f"top_{k}"] = np.where(m["n_words"] >= TOP_FROM, m[f"top_{k}"], 0.0)
             broken = np.array([bad for _, bad in rules])
             names = np.array([name for name, _ in rules])
             reasons = ["|".join(names[broken[:, i]]) if broken[:, i].any() else "" for i in range(hi - lo)]
@@ -131,19 +132,18 @@ def _rows(batches_: Iterator[pa.RecordBatch], id_col: str, text_col: str, short:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", *MEASURES, "keep", "reasons"])
 
 
-def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: its id, its measures, keep, and the broken rules, joined by ``|``.
 
     A null, empty or blank text has no words and is rejected as ``few_words``, with all measures 0. A null id
     stays null. Repeated ids give repeated rows. An empty table gives no rows. Other columns are not read, so
-    their names cannot clash. Texts are measured whole, whatever their length, but
-    top_2 to top_4 of texts of fewer than TOP_FROM words are given as 0, unless ``short`` is set; their rules do not
-    hold for these in either case.
+    their names cannot clash. Texts are measured whole, whatever their length; the rules on top_2 to top_4, and
+    these alone, hold from TOP_FROM words on. Of n-grams that are equally frequent the one with the most characters counts.
     """
     batches(df.sparkSession)
     schema = ", ".join(["doc_id long", "n_words long", *(f"{k} double" for k in MEASURES), "keep boolean", "reasons string"])
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(lambda b: _rows(b, "doc_id", "text", short), schema)
+    return slim.mapInArrow(lambda b: _rows(b, "doc_id", "text"), schema)
 
 
 def _passing(batches_: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:

@@ -92,8 +92,8 @@ def _quality_sql() -> str:
             FROM (SELECT doc, {gram(n)} AS g, {size} AS s FROM words WINDOW d AS (PARTITION BY doc ORDER BY i)) WHERE g IS NOT NULL GROUP BY doc, g))
     WHERE c = most AND c > 1 GROUP BY doc)""")
     measures = [f"coalesce(dup_{n}.chars, 0)::DOUBLE / greatest(docs.chars, 1) AS dup_{n}" for n in quality.DUPLICATE]
-    measures += [f"CASE WHEN n_words >= {quality.TOP_FROM} THEN least(1.0::DOUBLE, coalesce(top_{n}.chars, 0)::DOUBLE / greatest(docs.chars, 1)) ELSE 0.0 END::DOUBLE AS top_{n}" for n in quality.TOP]
-    rules = [(f"dup_{n}", f"dup_{n} > {v}::DOUBLE") for n, v in quality.DUPLICATE.items()] + [(f"top_{n}", f"top_{n} > {v}::DOUBLE") for n, v in quality.TOP.items()]
+    measures += [f"least(1.0::DOUBLE, coalesce(top_{n}.chars, 0)::DOUBLE / greatest(docs.chars, 1)) AS top_{n}" for n in quality.TOP]
+    rules = [(f"dup_{n}", f"dup_{n} > {v}::DOUBLE") for n, v in quality.DUPLICATE.items()] + [(f"top_{n}", f"n_words >= {quality.TOP_FROM} AND top_{n} > {v}::DOUBLE") for n, v in quality.TOP.items()]
     rules += [(k, f"{k} > {v}::DOUBLE") for k, v in (("dup_lines", quality.LINES), ("dup_line_chars", quality.LINE_CHARS), ("symbols", quality.SYMBOLS), ("word_length", quality.LONG_WORD))]
     rules.append(("few_words", f"n_words < {quality.FEW_WORDS}"))
     reasons = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in rules)

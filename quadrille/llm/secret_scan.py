@@ -1,8 +1,8 @@
 """Secret scans: credentials in texts, checked by the checksums that they carry.
 
 An Aho-Corasick automaton finds the keywords that every secret of a kind starts with
-or follows, another, over the text in lower case, those of kinds that ignore case; a kind's regular expression is tried only there, anchored at the
-keyword. What it matches is decoded and its checksum or inner structure
+or follows, another, over the text in lower case, those of kinds that ignore case; a
+kind's regular expression is tried only there, anchored at the keyword. What it matches is decoded and its checksum or inner structure
 computed anew, so that look-alikes are told from secrets.
 """
 
@@ -100,6 +100,9 @@ class Kind:
 
 
 _VALUE = r"""["']?[ \t]{0,3}(?:=|:|=>|:=)[ \t]{0,3}["']?([A-Za-z0-9+/_.\-!@#$%^&*~]{8,}={0,2})"""
+#: A key's lines, up to the next header or end, which are looked at once however many headers there are.
+_LINE = r"(?:[A-Za-z0-9+/=\s:,]|-(?!----(?:BEGIN|END) ))"
+_KEY = rf"(-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----\r?\n(?={_LINE}{{17}}){_LINE.replace('s:,]', 's:,]++')}*+(?<=\n)-----END \2PRIVATE KEY-----)"
 _NAMES = ["password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key"]
 
 KINDS = [
@@ -107,9 +110,9 @@ KINDS = [
     Kind("github_token", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"(gh[pousr]_[A-Za-z0-9]{36})", _crc),
     Kind("npm_token", ["npm_"], r"(npm_[A-Za-z0-9]{36})", _crc),
     Kind("json_web_token", ["eyJ"], r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)", _jwt, "A-Za-z0-9_-"),
-    Kind("private_key", ["-----BEGIN "], r"(-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----\r?\n[A-Za-z0-9+/=\s:,\-]{16,}?\n-----END \2PRIVATE KEY-----)", _der, ""),
-    Kind("slack_token", ["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], r"(xox[bpars]-[A-Za-z0-9-]{10,200})", None, "A-Za-z0-9-"),
-    Kind("stripe_key", ["sk_live_", "rk_live_"], r"((?:sk|rk)_live_[A-Za-z0-9]{16,99})", None),
+    Kind("private_key", ["-----BEGIN "], _KEY, _der, ""),
+    Kind("slack_token", ["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], r"(xox[bpars]-[A-Za-z0-9-]{10,})", None, "A-Za-z0-9-"),
+    Kind("stripe_key", ["sk_live_", "rk_live_"], r"((?:sk|rk)_live_[A-Za-z0-9]{16,})", None),
     Kind("google_api_key", ["AIza"], r"(AIza[A-Za-z0-9_-]{35})", None, "A-Za-z0-9_-"),
     Kind("gitlab_token", ["glpat-"], r"(glpat-[A-Za-z0-9_-]{20})", None, "A-Za-z0-9_-"),
     Kind("assigned_secret", _NAMES, rf"(?i:{'|'.join(sorted(_NAMES, key=len, reverse=True))}){_VALUE}", _random, "", folded=True),
@@ -170,7 +173,8 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     The secret is text[start_char:end_char]; the result has its hash and not itself. valid: whether its
     checksum, structure or, for assigned values, entropy is right; null for kinds that carry nothing to check.
     Null and empty texts have none. Null ids stay null, repeated rows give repeated rows, an empty table none.
-    Other columns are not read. Secrets of different kinds may overlap, and each is reported.
+    Other columns are not read. Secrets of different kinds may overlap, and each is reported; equal ones in one text
+    are rows of their own. Secrets and texts may be of any length, and time follows that of the text.
     """
     batches(df.sparkSession)
     return slim(df, id_col, text_col).mapInArrow(_scanned, "doc_id long, kind string, start_char long, end_char long, sha256 string, valid boolean")

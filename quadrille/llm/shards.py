@@ -3,81 +3,44 @@
 Karmarkar-Karp differencing. A partial partition is a list of as many parts as
 there are shards; two are combined by uniting the fullest part of the one with
 the emptiest of the other, and so on, and always the two with the largest
-spread between fullest and emptiest part are next. Groups are spread over tasks
-by hash; each task combines its own to one partial partition, and the partial
-partitions, each no more than a list of sums, are combined in the same way,
-many to a task, until one is left. Its parts are the shards.
+spread between fullest and emptiest part are next. The heaviest groups, of which there
+are no more than shards times LEAF, are combined first, in one task. The others are
+spread over leaves of about LEAF groups by hash; each leaf begins with its share of the
+imbalance that the heaviest have left, as one more partial partition, and so makes up for it. What
+comes out depends on the groups alone, not on the number of Spark's partitions.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.cluster import Shelf, batches, partitions, text_key
+from quadrille.llm.cluster import Shelf, text_key
 
 #: Shards unless told otherwise.
 SHARDS = 16
-#: Partial partitions that one task combines.
-FAN = 256
+#: Groups that a leaf combines, about.
+LEAF = 1 << 14
 
-_PARTIAL = pa.schema([("node", pa.int64()), ("sums", pa.list_(pa.int64()))])
 
+def whole(size: np.ndarray, k: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Combines single groups, and a partial partition to start with: the sums of its parts then, and for each group its part.
 
-def differencing(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Combines partial partitions, the rows of sums, to one: its sums, and for each row the part that its parts go to.
-
-    Rows of equal spread are taken in their order, parts of equal sum in theirs.
+    Of equal spreads the group that comes first is next, of equal sums the part that comes first.
     """
-    rows, k = sums.shape
-    # A partial partition on its way: sums in falling order, and the rows and parts that each unites.
-    state: list = []
-    heap: list[tuple[int, int]] = []
-    for r in range(rows):
-        order = np.argsort(-sums[r], kind="stable")
-        state.append([sums[r][order], {r: order}])
-        heap.append((-int(state[r][0][0] - state[r][0][-1]), r))
+    n = len(size)
+    start = np.zeros(k, np.int64) if start is None else start
+    begun = np.argsort(-start, kind="stable")
+    # Only the first part of a group's own partition has something in it.
+    heap = [(-int(s), i) for i, s in enumerate(size)] + [(-int(start.max() - start.min()), n)]
     heapq.heapify(heap)
+    last: dict[int, np.ndarray] = {n: start[begun]}
     # Which of its two halves each union takes, kept as a tree: nothing is copied before the end.
-    tree: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    names, last = list(range(rows)), [s[0] for s in state]
-    first = [s[1][r] for r, s in enumerate(state)]
-    while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        united = last[a] + last[b][::-1]
-        order = np.argsort(-united, kind="stable")
-        place = np.empty(k, np.int64)
-        place[order] = np.arange(k)
-        new = len(names)
-        names.append(new)
-        last.append(united[order])
-        last[a] = last[b] = None
-        tree.append((a, b, place, place[::-1]))
-        heapq.heappush(heap, (-int(united[order[0]] - united[order[-1]]), new))
-    goes: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)}
-    for new, (a, b, here, there) in zip(range(len(names) - 1, rows - 1, -1), reversed(tree)):
-        own = goes.pop(new)
-        goes[a], goes[b] = own[here], own[there]
-    out = np.empty((rows, k), np.int64)
-    for r in range(rows):
-        out[r, first[r]] = goes[r]
-    return last[heap[0][1]], out
-
-
-def whole(size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """As differencing(), of single groups: the sums, and for each group its part."""
-    # Groups of spread zero change nothing, and only the first part of a group's own partition has something in it.
-    heap = [(-int(s), i) for i, s in enumerate(size)]
-    heapq.heapify(heap)
-    last: dict[int, np.ndarray] = {}
     tree: list[tuple[int, int, np.ndarray]] = []
-    n = len(size)
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
@@ -92,82 +55,68 @@ def whole(size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(-united, kind="stable")
         place = np.empty(k, np.int64)
         place[order] = np.arange(k)
-        new = n + len(tree)
+        new = n + 1 + len(tree)
         tree.append((a, b, place))
         last[new] = united[order]
         heapq.heappush(heap, (-int(united[order[0]] - united[order[-1]]), new))
     goes: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)}
     part = np.zeros(n, np.int64)
-    for new, (a, b, place) in zip(range(n + len(tree) - 1, n - 1, -1), reversed(tree)):
+    for new, (a, b, place) in zip(range(n + len(tree), n, -1), reversed(tree)):
         own = goes.pop(new)
         for child, way in ((a, own[place]), (b, own[place[::-1]])):
             if child < n:
                 part[child] = way[0]
             else:
                 goes[child] = way
-    if not tree:
-        total = np.zeros(k, np.int64)
-        total[0] = size[0]
-        return total, part
-    return last[n + len(tree) - 1], part
-
-
-def _leaves(batches_: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Every group's part in the partial partition of its task, and, with a null group, the sums of this."""
-    held = list(batches_)
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    size, node = table.column("bytes").to_numpy(), table.column("node")[0].as_py()
-    group = [table.column(c).to_numpy() for c in ("g1", "g2")]
-    order = np.lexsort((*group[::-1], -size))
-    sums, part = whole(size[order], k)
-    parts = np.empty(len(size), np.int32)
-    parts[order] = part
-    nothing = pa.nulls(1, pa.int64())
-    columns = [pa.chunked_array([table.column("node").combine_chunks(), pa.array([node], pa.int64())])]
-    columns += [pa.chunked_array([table.column(c).combine_chunks(), nothing]) for c in ("g1", "g2")]
-    columns += [pa.chunked_array([pa.array(parts), pa.nulls(1, pa.int32())]), pa.array([None] * len(size) + [sums.tolist()], pa.list_(pa.int64()))]
-    for batch in pa.Table.from_arrays(columns, ["node", "g1", "g2", "part", "sums"]).to_batches(65536):
-        yield batch
-
-
-def _united(table: pa.Table, fan: int) -> pa.Table:
-    """One partial partition of up to fan; kind 0: its sums; kind 1: where the parts of each that it unites go."""
-    table = table.sort_by("node")
-    nodes = table.column("node").to_pylist()
-    sums, goes = differencing(np.array(table.column("sums").to_pylist(), np.int64))
-    up = nodes[0] // fan
-    return pa.table({"node": pa.array([up, *nodes], pa.int64()), "sums": pa.array([sums.tolist(), *goes.tolist()], pa.list_(pa.int64())), "kind": pa.array([0] + [1] * len(nodes), pa.int32())})
-
-
-def shards(df: DataFrame, k: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, fan: int = FAN) -> DataFrame:
+    # The parts are called as those of the partition to start with.
+    name = np.empty(k, np.int64)
+    name[goes[n]] = begun
+    sums = np.empty(k, np.int64)
+    sums[name] = last[heap[0][1]]
+    return sums, name[part]
+
+
+def _leaf(table: pa.Table, k: int, rest: np.ndarray, count: int) -> pa.Table:
+    """Every group's part, given what the heaviest groups left and the number of leaves."""
+    node = table.column("node")[0].as_py()
+    size = table.column("bytes").to_numpy()
+    order = np.lexsort((table.column("g2").to_numpy(), table.column("g1").to_numpy(), -size))
+    part = np.empty(len(size), np.int32)
+    part[order] = whole(size[order], k, rest * (node + 1) // count - rest * node // count)[1]
+    return table.select(["g1", "g2", "bytes"]).append_column("part", pa.array(part))
+
+
+def shards(df: DataFrame, k: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_bytes, shard) for each row of df: shards 0 to k - 1, numbered by falling size.
 
     Rows with equal values of group_col stay together; without group_col, rows with equal texts do, so that no copy
     of a text of one shard is in another. n_bytes is the length of the text in UTF-8, 0 for a null text. Rows
     with a null group are one group. Null and repeated ids stay. With fewer groups than k some shards get
-    nothing. An empty table gives no rows. Other columns are not read.
+    nothing. Groups of equal size are taken in the order of a hash. A hot group is one row here, and its documents find their shard by a
+    join that adaptive execution splits. An empty table gives no rows. Other columns are not read.
     """
-    spark = df.sparkSession
-    shelf = Shelf(spark)
-    batches(spark)
-    tasks = partitions(spark)
+    shelf = Shelf(df.sparkSession)
     group = F.col(group_col or text_col).cast("string")
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), text_key(group).alias("g1"), F.coalesce(F.when(group.isNotNull(), F.hash(group, F.lit(7))), F.lit(0)).cast("long").alias("g2"))
-    groups = docs.groupBy("g1", "g2").agg(F.sum("n_bytes").alias("bytes")).withColumn("node", F.pmod(F.xxhash64("g1", "g2"), F.lit(tasks)))
-    leaves = shelf.keep(groups.repartitionById(tasks, F.col("node").cast("int")).mapInArrow(lambda b: _leaves(b, k), "node long, g1 long, g2 long, part int, sums array<long>"))
-    level = leaves.where("sums IS NOT NULL").select("node", "sums")
-    ways = leaves.where("sums IS NULL").select("node", "g1", "g2", "part")
-    count = tasks
-    while count > 1:
-        made = shelf.keep(level.groupBy(F.expr(f"node div {fan}").alias("up")).applyInArrow(lambda t: _united(t, fan), "node long, sums array<long>, kind int"))
-        level = made.where("kind = 0").select("node", "sums")
-        goes = made.where("kind = 1").select("node", F.col("sums").alias("goes"))
-        ways = ways.join(goes, "node").select(F.expr(f"node div {fan}").alias("node"), "g1", "g2", F.element_at("goes", F.col("part") + 1).cast("int").alias("part"))
-        count = -(-count // fan)
-    return docs.join(ways.select("g1", "g2", F.col("part").alias("shard")), ["g1", "g2"]).select("doc_id", "n_bytes", "shard")
+    groups = shelf.keep(docs.groupBy("g1", "g2").agg(F.sum("n_bytes").alias("bytes")))
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    count = max(1, -(-n // leaf))
+    made = "g1 long, g2 long, bytes long, part int"
+    heavy = F.col("bytes") > total / (k * leaf)
+    first = shelf.keep(groups.where(heavy).withColumn("node", F.lit(0).cast("long")).groupBy("node").applyInArrow(lambda t: _leaf(t, k, np.zeros(k, np.int64), 1), made))
+    left = np.zeros(k, np.int64)
+    for part, sum_ in first.groupBy("part").agg(F.sum("bytes")).collect():
+        left[part] = sum_
+    # What all parts have is no imbalance.
+    left -= left.min()
+    noded = groups.where(~heavy).withColumn("node", F.pmod(F.xxhash64("g1", "g2"), F.lit(count)))
+    rest = shelf.keep(noded.groupBy("node").applyInArrow(lambda t: _leaf(t, k, left, count), made))
+    shelf.drop(groups)
+    sums = dict(first.union(rest).groupBy("part").agg(F.sum("bytes")).collect())
+    number = np.argsort(np.argsort([-sums.get(p, 0) for p in range(k)], kind="stable")).tolist()
+    placed = first.union(rest).select("g1", "g2", F.get(F.array(*map(F.lit, number)), F.col("part")).alias("shard"))
+    return docs.join(placed, ["g1", "g2"]).select("doc_id", "n_bytes", "shard")
 
 
 def balance(spark: SparkSession, placed: DataFrame) -> DataFrame:

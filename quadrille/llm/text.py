@@ -78,12 +78,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about the given number of bytes: first, end, bytes, offsets."""
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about the given number of bytes, and at most so many rows: first, end, bytes, offsets."""
     data, at = utf8(column)
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1))
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
@@ -136,11 +136,16 @@ def grams(doc: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return where, rolled(word, where, n)
 
 
+def longer(total: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """n-grams with a word more, before they are mixed."""
+    return total * _BASE + word
+
+
 def rolled(word: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
     """The hashes of the n-grams that start at the given words."""
     total = word[where]
     for k in range(1, n):
-        total = total * _BASE + word[where + k]
+        total = longer(total, word[where + k])
     return mix(total)
 
 

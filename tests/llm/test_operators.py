@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -120,7 +121,7 @@ def shares(text):
         count = Counter(tuple(low[i : i + n]) for i in range(len(low) - n + 1))
         most = max(count.values(), default=0)
         best = max((sum(map(len, g)) * most for g, c in count.items() if c == most), default=0) if most > 1 else 0
-        out[f"top_{n}"] = min(1.0, best / total) if len(own) >= quality.TOP_FROM else 0.0
+        out[f"top_{n}"] = min(1.0, best / total)
     own_lines = [x for x in text.split("\n") if x]
     seen, again = set(), []
     for x in own_lines:
@@ -144,15 +145,13 @@ def test_repetition_by_brute_force(docs):
             assert math.isclose(got[i][name], value, abs_tol=2e-6), (name, t[:200])
 
 
-def test_short_texts_are_measured_when_asked(docs, monkeypatch):
-    texts = ["buy now one buy now two buy now three buy now", "a b a b", "one two three", "", "ab " * 19, "ab " * 20]
-    got = {r["doc_id"]: r for r in quality.repetition(docs(enumerate(texts)), short=True).collect()}
-    zero = {r["doc_id"]: r for r in quality.repetition(docs(enumerate(texts))).collect()}
-    assert zero[0]["top_2"] == 0 and all((got[i]["keep"], got[i]["reasons"]) == (zero[i]["keep"], zero[i]["reasons"]) for i in got)
-    assert not any("top" in got[i]["reasons"] for i in range(5)) and "top_2" in got[5]["reasons"]
-    monkeypatch.setattr(quality, "TOP_FROM", 0)
+def test_short_texts_are_measured(docs):
+    texts = ["buy now one buy now two buy now three buy now", "a b a b", "one two three", "", *["ab " * n for n in (2, 19, 20, 21)]]
+    got = {r["doc_id"]: r for r in quality.repetition(docs(enumerate(texts))).collect()}
+    assert not any("top" in got[i]["reasons"] for i in range(6)) and all("top_2" in got[i]["reasons"] for i in (6, 7))
     for i, t in enumerate(texts):
         assert all(math.isclose(got[i][name], value, abs_tol=2e-6) for name, value in shares(t).items())
+    assert got[5]["top_2"] == got[6]["top_2"] == 1.0 and got[0]["top_2"] > 0.4
 
 
 def test_quality_of_odd_rows(docs):
@@ -450,6 +449,25 @@ def test_long_assigned_secrets(docs):
     assert {i: (r["start_char"], r["end_char"], r["sha256"], r["valid"]) for i, r in got.items()} == {i: (len('so token = "'), len('so token = "') + len(v), hashlib.sha256(v.encode()).hexdigest(), True) for i, v in enumerate(values)}
 
 
+@pytest.mark.parametrize("name,head,lengths", [("slack_token", "xoxb-", (9, 10, 200, 201, 5000)), ("stripe_key", "sk_live_", (15, 16, 99, 100, 5000))])
+def test_tokens_of_any_length(docs, name, head, lengths):
+    values = [head + "aB3" * (n // 3) + "xyz"[: n % 3] for n in lengths]
+    got = {r["doc_id"]: r for r in secret_scan.secrets(docs([(i, f"so {v} and") for i, v in enumerate(values)])).collect()}
+    assert {i: (r["kind"], r["end_char"]) for i, r in got.items()} == {i: (name, 3 + len(v)) for i, v in enumerate(values) if i}
+
+
+def test_headers_without_an_end_take_no_time():
+    found, began = secret_scan.automaton(), time.process_time()
+    der = base64.b64encode(b"\x30\x82\x00\x40" + bytes(64)).decode()
+    key = f"-----BEGIN PRIVATE KEY-----\n{der}\n-----END PRIVATE KEY-----"
+    for unit in ("-----BEGIN PRIVATE KEY-----\n", "-----BEGIN A ", "-----BEGIN PRIVATE KEY-----\n" + "-" * 40 + "abc\n", "xoxb-", "eyJ", "password=", "token: a "):
+        text = unit * (1_000_000 // len(unit)) + "\n" + key
+        assert ("private_key", True) in [(k, v) for k, *_, v in secret_scan.scan(found, text)]
+    assert time.process_time() - began < 60
+    # A header inside a body begins a key of its own.
+    assert [x[:2] for x in secret_scan.scan(found, "-----BEGIN PRIVATE KEY-----\nabc\n" + key)] == [("private_key", 32)]
+
+
 def test_assigned_secrets_in_any_case(docs):
     rng = random.Random(24)
     names = ["apiKey", "ApiKey", "Api-Key", "Api_Key", "API_key", "Access_Key", "passWord", "PassWd", "clientSecret", "accessToken", "dbPASSWORD"]
@@ -512,6 +530,50 @@ def test_kernel_by_brute_force():
             assert math.isclose(k[i, j], exp, abs_tol=1e-5)
 
 
+def test_kernel_with_landmarks_counts_all_n_grams_of_a_text():
+    rng = random.Random(44)
+    texts = [spoken(rng, "en", 20), spoken(rng, "de", 20), spoken(rng, "fr", 30)]
+    marks = texts[:1]
+    parts = [X.utf8(pa.array(x)) for x in (texts, marks)]
+    known = [np.unique(language.grams(*language.codes(*parts[1]), n)[1]) for n in language.LENGTHS]
+    tables = language.Model([], known, [], np.zeros(0), np.zeros(0)).tables()
+    k = language.kernel(*(language.presence(d, a, tables, known) for d, a in parts))
+    spectrum = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)} - {" " * n}
+    own = [re.sub(rb"[^a-z\x80-\xff]+", b" ", t.encode()).decode("latin-1") for t in texts]
+    for i, t in enumerate(own):
+        exp = sum(len(spectrum(t, n) & spectrum(own[0], n)) / math.sqrt(len(spectrum(t, n)) * len(spectrum(own[0], n))) for n in language.LENGTHS) / len(language.LENGTHS)
+        assert math.isclose(k[i, 0], exp, abs_tol=1e-5)
+
+
+def test_ridge_by_least_squares():
+    """Weights and bias solve the weighted ridge regression on the kernels with the landmarks."""
+    rng = random.Random(45)
+    labels = np.array(["en", "de", "fr", "en", "en"] * 8, object)
+    texts = pa.array([spoken(rng, y, rng.randrange(3, 25)) for y in labels])
+    model = language.fit(texts, labels, landmarks=12)
+    p = language.presence(*X.utf8(texts), model.tables(), model.known)
+    k, own = (language.kernel(x, model.landmarks).astype(float) for x in (p, model.landmarks))
+    value, vector = np.linalg.eigh(own)
+    white = vector / np.sqrt(value)
+    weight = 1 / np.array([(labels == y).sum() for y in labels])
+    weight /= weight.sum()
+    root = np.sqrt(weight)[:, None]
+    design = np.vstack((np.hstack((k @ white, np.ones((len(k), 1)))) * root, np.hstack((np.sqrt(language.RIDGE / len(k)) * np.eye(12), np.zeros((12, 1))))))
+    for c, name in enumerate(model.languages):
+        target = np.where(labels == name, 1.0, -1.0)
+        beta = np.linalg.lstsq(design, np.append(target * root[:, 0], np.zeros(12)), rcond=None)[0]
+        assert np.allclose(k @ model.weights[:, c] + model.bias[c], k @ white @ beta[:-1] + beta[-1], atol=2e-3)
+
+
+def test_few_labels_and_short_texts(docs):
+    rng = random.Random(46)
+    train = [(i, spoken(rng, "en de".split()[i % 2], 20), "en de".split()[i % 2]) for i in range(8)]
+    labelled = docs([]).sparkSession.createDataFrame(train, "doc_id long, text string, lang string")
+    df = docs([(i, t) for i, t in enumerate(["the", "sch"] * 3000)])
+    assert {r["language"] for r in language.identify(df, labelled).collect()} == {None}
+    assert Counter(r["language"] for r in language.identify(df, labelled, fewest=4).collect()) == {"en": 3000, "de": 3000}
+
+
 def test_more_labels_than_landmarks(docs):
     rng = random.Random(25)
     count = 210
@@ -621,6 +683,14 @@ def test_ids_are_the_librarys(vocabulary, monkeypatch):
         assert [d.decode(errors="replace") for d in vocabulary.decode(ids, count)] == [library.decode(library.encode(t)) for t in texts]
 
 
+def test_a_wrong_cut_is_seen(vocabulary, monkeypatch):
+    """The library encodes whole texts, so a cut where a piece would have merged is noticed."""
+    texts = ["the thing", "a b", "x"]
+    assert vocabulary.encode(texts)[2].all()
+    monkeypatch.setattr(vocabulary, "beside", np.zeros_like(vocabulary.beside))
+    assert not vocabulary.encode(texts)[2][0]
+
+
 def test_encoding_and_decoding(docs):
     own = [*enumerate(t for t in odd_texts() if "▁" not in t), (None, "x"), (1, None), (2, "a ▁"), (2, "a ▁")]
     codes = pieces.encode(docs(own))
@@ -653,12 +723,10 @@ def test_differencing_by_brute_force():
     for n, k in ((1, 3), (2, 3), (5, 2), (9, 4), (60, 5)):
         sizes = rng.integers(0, 50, n)
         sums, part = shards.whole(sizes, k)
-        assert sums.tolist() == differencing(sizes.tolist(), k) == np.bincount(part, weights=sizes, minlength=k).tolist()
-        rows_ = np.zeros((n, k), np.int64)
-        rows_[:, 0] = sizes
-        again, goes = shards.differencing(rows_)
-        assert again.tolist() == sums.tolist()
-        assert all(sorted(g) == list(range(k)) for g in goes.tolist())
+        assert sorted(sums.tolist(), reverse=True) == differencing(sizes.tolist(), k) and sums.tolist() == np.bincount(part, weights=sizes, minlength=k).tolist()
+        start = rng.integers(0, 60, k)
+        after, part = shards.whole(sizes, k, start)
+        assert after.tolist() == (start + np.bincount(part, weights=sizes, minlength=k)).tolist()
 
 
 def test_two_parts_are_close_to_the_best():
@@ -670,18 +738,21 @@ def test_two_parts_are_close_to_the_best():
         greedy = [0, 0]
         for s in sorted(sizes.tolist(), reverse=True):
             greedy[int(greedy[1] < greedy[0])] += s
-        assert best <= sums[0] - sums[1] <= max(abs(greedy[0] - greedy[1]), best) + 60
+        assert best <= abs(sums[0] - sums[1]) <= max(abs(greedy[0] - greedy[1]), best) + 60
 
 
 def test_shards(docs):
     own = corpus(17)
-    for fan in (2, 256):
-        got = rows(shards.shards(docs(own), 4, fan=fan))
+    for leaf, spread in ((25, 1000), (50, 200), (1 << 14, 2)):
+        got = rows(shards.shards(docs(own), 4, leaf=leaf))
+        docs([]).sparkSession.conf.set("spark.sql.shuffle.partitions", "3")
+        assert sorted(map(str, rows(shards.shards(docs(own), 4, leaf=leaf)))) == sorted(map(str, got))
+        docs([]).sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
         assert sorted((str(i), n) for i, n, _ in got) == sorted((str(i), len((t or "").encode())) for i, t in own)
         sums = Counter()
         for _, n, s in got:
             sums[s] += n
-        assert set(sums) == {0, 1, 2, 3} and max(sums.values()) - min(sums.values()) < 3000
+        assert set(sums) == {0, 1, 2, 3} and max(sums.values()) - min(sums.values()) < spread
         where = {}
         for i, t in own:
             if i is not None:
@@ -786,6 +857,22 @@ def test_hits_in_parts_and_the_bound(monkeypatch):
         assert (decontaminate.bound(a, b) >= decontaminate.align(a, b)[0]).all()
 
 
+def test_very_long_texts_elsewhere(docs, spark):
+    rng = random.Random(47)
+    long = prose(rng, 120_000, 50_000)
+    words_ = long.split(" ")
+    item = " ".join(words_[60_000:60_040])
+    df = docs([(1, long + " ghp_" + "a" * 36), (2, "short")])
+    assert [(r[0], r[1]) for r in rows(secret_scan.secrets(df))] == [(1, "github_token")]
+    assert {r[0]: r[1] for r in rows(language.identify(df, docs([(i, spoken(rng, "en", 30)) for i in range(9)])))}[1] == "en"
+    assert rows(pieces.encode(df).where("agrees AND round_trip").select("doc_id").orderBy("doc_id")) == [(1,), (2,)]
+    assert {r[0]: r[1] for r in rows(shards.shards(df, 2))} == {1: len(long) + 41, 2: 5}
+    got = rows(decontaminate.leaks(df, spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")))
+    assert sorted((a, b, c) for a, b, c, *_ in got) == [(1, 7, 1.0), (1, 8, 1.0)]
+    page = "<ul>" + "<li>x</li>" * 20_000 + "</ul>" + "<p>This is prose, and so on; is it not? Yes.</p>" * 10_000
+    assert html_text.extract(page)[0].count("\n") == 9_999
+
+
 def test_very_long_texts(docs):
     long = prose(random.Random(20), 120_000, 50_000)
     df = docs([(1, long), (2, "short text of its own"), (3, long)])
