@@ -10,11 +10,16 @@ from quadrille.functions.grid import TimeRange
 from quadrille.operators.tiling import BIN, TILE, rolled_up, rolls_up
 
 
-def _counts(df: DataFrame, x: str, y: str, tokens: Column, projection, levels: list[int], bins: int, keys: list[str], tms: bool) -> DataFrame:
+def _counts(df: DataFrame, x: str, y: str, tokens: Column, projection, levels: list[int], bins: int, keys: list[str], tms: bool, stop: list[str] | None = None) -> DataFrame:
     """How often each term is in each bin. Counted first at the deepest level, so that few rows reach the crowded ones."""
     rollup = rolls_up(levels, bins)
-    rows = df.withColumn("term", F.explode(tokens))
-    cells = grid.point(rows, projection, x, y, [max(levels)] if rollup else levels, bins, tms).groupBy(*BIN, *keys, "term").agg(F.count("*").alias("n"))
+    counts = lambda t: ~t.isin(stop) if stop else t.isNotNull()
+    # Terms are told apart as rows: filters of array elements are not compiled. Where a row has one bin only, it is found before that.
+    if rollup or len(levels) == 1:
+        rows = grid.point(df, projection, x, y, [max(levels)], bins, tms).select(*BIN, *keys, F.explode(tokens).alias("term")).where(counts(F.col("term")))
+    else:
+        rows = grid.point(df.withColumn("term", F.explode(tokens)).where(counts(F.col("term"))), projection, x, y, levels, bins, tms)
+    cells = rows.groupBy(*BIN, *keys, "term").agg(F.count("*").alias("n"))
     return rolled_up(cells, levels, bins, [F.sum("n").alias("n")], [*keys, "term"], tms) if rollup else cells
 
 
@@ -38,14 +43,14 @@ def topics(df: DataFrame, x: str, y: str, tokens: str, projection, levels: list[
     """
     has = _tokens(df, tokens)
     rows = df.where(text.has_any(has, terms or []))
-    return _top(_counts(rows, x, y, F.filter(text.without(has, stop or []), lambda t: t.isNotNull()), projection, levels, bins, [], tms), BIN, limit)
+    return _top(_counts(rows, x, y, has, projection, levels, bins, [], tms, stop), BIN, limit)
 
 
 def time_topics(df: DataFrame, x: str, y: str, time: str, tokens: str, projection, times: TimeRange, levels: list[int], limit: int = 15, bins: int = 1, terms: list[str] | None = None, stop: list[str] | None = None, tms: bool = True) -> DataFrame:
     """As topics, for each bucket of time bin_t."""
     has, ms = _tokens(df, tokens), grid.millis(df, time)
     rows = df.where(times.inside(ms) & text.has_any(has, terms or [])).withColumn("bin_t", times.bucket(ms))
-    return _top(_counts(rows, x, y, F.filter(text.without(has, stop or []), lambda t: t.isNotNull()), projection, levels, bins, ["bin_t"], tms), [*BIN, "bin_t"], limit)
+    return _top(_counts(rows, x, y, has, projection, levels, bins, ["bin_t"], tms, stop), [*BIN, "bin_t"], limit)
 
 
 def term_counts(df: DataFrame, x: str, y: str, column: str, projection, levels: list[int], tms: bool = True) -> DataFrame:
@@ -66,6 +71,8 @@ def dictionary(counted: DataFrame, keys: list[str] | None = None, stop: list[str
     """
     keys = ["z"] if keys is None else keys
     term = F.col("term") if case_sensitive else F.lower("term")
+    # A condition that always holds keeps n, so that this and what else reads the counts read the same exchange.
+    counted = counted.where("n > 0") if "n" in counted.columns else counted
     seen = counted.select(*keys, *[c for c in TILE if c not in keys], term.alias("term")).distinct()
     docs = seen.select(*keys, *[c for c in TILE if c not in keys]).distinct().groupBy(*keys).agg(F.count("*").alias("docs"))
     if stop:
