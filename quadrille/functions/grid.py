@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,24 @@ def point(df: DataFrame, projection, x: str, y: str, levels: list[int], bins: in
     return binned if tms else binned.withColumn("ty", flipped(F.col("z"), F.col("ty")))
 
 
+class Projection(Protocol):
+    """What a projection of one's own has: to how many places a row goes, and to which, is up to it.
+
+    places: an array of structs (tx, ty, bin_x, bin_y), with tile rows from the south, and any further fields, made of the row's columns and its level; null or
+    empty where the row is outside.
+    """
+
+    def places(self, z: Column, bins: int) -> Column: ...
+
+
+def project(df: DataFrame, projection: Projection, levels: list[int], bins: int, tms: bool = True) -> DataFrame:
+    """Adds z and the fields of the projection's places, a row for each of them at each level."""
+    made = at_levels(df, levels).withColumn("_place", F.explode(projection.places(F.col("z"), bins)))
+    fields = made.schema["_place"].dataType.names
+    out = made.withColumns({f: F.col("_place")[f] for f in fields}).drop("_place")
+    return out if tms else out.withColumn("ty", flipped(F.col("z"), F.col("ty")))
+
+
 def flipped(z: Column, ty: Column) -> Column:
     """The tile row counted from the other side."""
     return (side(z) - 1 - ty).cast("int")

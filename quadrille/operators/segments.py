@@ -62,9 +62,9 @@ def ip_segments(df: DataFrame, start: str, end: str, levels: list[int], bins: in
 
 
 def segment_tiles(df: DataFrame, columns: tuple[str, str, str, str], levels: list[int], projection=Cartesian(), bins: int = 256, keep: list[str] | None = None, leader: float = lines.LEADER, tms: bool = True) -> DataFrame:
-    """Stage one of two: the tiles that each segment touches near its ends, with its ends in universal bins."""
-    found = points(df, columns, projection, levels, bins, Shape.LEADER_LINE, leader=leader)
-    return tiled(found, bins, tms).select(*(keep or []), *TILE, "ux1", "uy1", "ux2", "uy2").distinct()
+    """Stage one of two: the tiles that each segment touches near its ends, with its ends in universal bins. Equal segments stay as many as they are."""
+    found = points(df.withColumn("_row", F.monotonically_increasing_id()), columns, projection, levels, bins, Shape.LEADER_LINE, leader=leader)
+    return tiled(found, bins, tms).select("_row", *(keep or []), *TILE, "ux1", "uy1", "ux2", "uy2").distinct().drop("_row")
 
 
 def within_tiles(stage: DataFrame, bins: int = 256, leader: float = lines.LEADER, value: Column | None = None, tms: bool = True) -> DataFrame:
@@ -76,9 +76,9 @@ def within_tiles(stage: DataFrame, bins: int = 256, leader: float = lines.LEADER
 
 def fading_segments(df: DataFrame, columns: tuple[str, str, str, str], levels: list[int], projection=Cartesian(), bins: int = 256, leader: int = lines.LEADER, keep: list[str] | None = None, tms: bool = True) -> DataFrame:
     """Leader lines whose values fade towards the middle: (keep..., z, tx, ty, bin_x, bin_y, share)."""
-    found = points(df, columns, projection, levels, bins, Shape.LEADER_LINE, leader=leader)
+    found = points(df.withColumn("_row", F.monotonically_increasing_id()), columns, projection, levels, bins, Shape.LEADER_LINE, leader=leader)
     # The numbers of the bins that are left follow from those of the gap, which is one run in the middle.
-    ends_ = [*(keep or []), "z", "ux1", "uy1", "ux2", "uy2"]
+    ends_ = ["_row", *(keep or []), "z", "ux1", "uy1", "ux2", "uy2"]
     listed = found.groupBy(*ends_).agg(F.sort_array(F.collect_set(F.struct("k", "ux", "uy"))).alias("p"))
     count = F.size("p").cast("long")
     middle = F.call_function("div", count, F.lit(2).cast("long")).cast("int")

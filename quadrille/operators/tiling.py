@@ -22,7 +22,12 @@ def bounds(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def binned(df: DataFrame, projection, x: str, y: str, levels: list[int], bins: int, aggregates: list[Column], keys: list[str] | None = None, tms: bool = True) -> DataFrame:
-    """The general operator: rows projected to bins at each level, and any aggregates by bin and further keys."""
+    """The general operator: rows projected to bins at each level, and any aggregates by bin and further keys.
+
+    A projection of one's own, with a method places(), may send a row to any number of bins; x and y are then not read.
+    """
+    if hasattr(projection, "places"):
+        return grid.project(df, projection, levels, bins, tms).groupBy(*BIN, *(keys or [])).agg(*aggregates)
     return grid.point(df, projection, x, y, levels, bins, tms).groupBy(*BIN, *(keys or [])).agg(*aggregates)
 
 

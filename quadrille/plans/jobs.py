@@ -10,6 +10,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille import sinks
@@ -118,6 +119,8 @@ def segment(spark: SparkSession, config: Section) -> DataFrame:
     bins = t.bins or 256
     columns = tuple(part.text(c) for c in ("x1Column", "y1Column", "x2Column", "y2Column"))
     cells = segments.segment_heatmap(source_of(spark, config), columns, t.levels, projection_of(part), bins, part.text("valueColumn", default=None), part.text("arcType"), part.whole("minSegLen", default=None), part.whole("maxSegLen", default=1024))
+    # Both the tiles and the levels' ranges are of these.
+    cells = cells.persist(StorageLevel.DISK_ONLY)
     out = sink.write(codec.dense(cells, bins))
     # One row a level.
     levels = {str(r["z"]): {"min": r["min"], "max": r["max"]} for r in tiling.level_range(cells).collect()}

@@ -456,19 +456,44 @@ def decode_scores_json(spark, sf):
     return codec.from_scores(encode_scores_json(spark, sf), 1)
 
 
-@query()
+def _tfidf(spark, sf):
+    return topics.tfidf(_counted(spark, sf), 5).withColumn("score", F.round("score", 3))
+
+
+_TFIDF_SQL = f"""(
+SELECT z, tx, ty, term, round(score, 3) AS score, r FROM (
+    SELECT c.z, tx, ty, c.term, (1.0::DOUBLE + ln(n)) * ln(1.0::DOUBLE + docs::DOUBLE / df) AS score, row_number() OVER (PARTITION BY c.z, tx, ty ORDER BY (1.0::DOUBLE + ln(n)) * ln(1.0::DOUBLE + docs::DOUBLE / df) DESC, c.term) AS r
+    FROM {_COUNTS_SQL} c JOIN ({dictionary_sql()}) d ON c.z = d.z AND c.term = d.term)
+WHERE r <= 5)"""
+
+
+@query(f"""SELECT z, tx, ty, '{{' || string_agg('"' || term || '": ' || score, ', ' ORDER BY r) || '}}' AS payload FROM {_TFIDF_SQL} GROUP BY z, tx, ty""")
 def encode_tile_scores(spark, sf):
-    return codec.tile_scores(topics.tfidf(_counted(spark, sf), 5))
+    return codec.tile_scores(_tfidf(spark, sf))
 
 
-@query()
+@query(f"SELECT z, tx, ty, term, score FROM {_TFIDF_SQL}")
+def decode_tile_scores(spark, sf):
+    return codec.from_tile_scores(codec.tile_scores(_tfidf(spark, sf)))
+
+
+# A whole number as the eight bytes of a double, the last ones first.
+_BYTES_SQL = " || ".join(f"substr(h, {k}, 2)" for k in range(15, 0, -2))
+
+
+@query(
+    f"""WITH cells AS (SELECT z, tx, ty, bin_x + bin_y * 16 AS p, value::BIGINT AS v, length(ltrim(bin(value::BIGINT), '0')) - 1 AS e FROM ({cells_sql(PRICE_POINTS)})),
+coded AS (SELECT z, tx, ty, p, lpad(upper(to_hex(((e + 1023)::BIGINT << 52) + ((v - (1::BIGINT << e)) << (52 - e)))), 16, '0') AS h FROM cells),
+every AS (SELECT * FROM (SELECT DISTINCT z, tx, ty FROM cells), (SELECT unnest(range(256)) AS p))
+SELECT z, tx, ty, string_agg(coalesce({_BYTES_SQL}, repeat('0', 16)), '' ORDER BY p) AS payload FROM every LEFT JOIN coded USING (z, tx, ty, p) GROUP BY z, tx, ty"""
+)
 def encode_dense(spark, sf):
-    return codec.dense(heatmap_cartesian(spark, sf), 16)
+    return codec.dense(heatmap_cartesian(spark, sf), 16).withColumn("payload", F.hex("payload"))
 
 
 @query(f"SELECT z, tx, ty, bin_x, bin_y, 0 AS bin_t, value FROM ({cells_sql(PRICE_POINTS)})")
 def decode_dense(spark, sf):
-    return codec.from_dense(encode_dense(spark, sf), 16)
+    return codec.from_dense(codec.dense(heatmap_cartesian(spark, sf), 16), 16)
 
 
 @query(f"SELECT z, tx, ty, bin_x, bin_y, tx::BIGINT * 16 + bin_x AS ux, (pow(2, z)::BIGINT - 1 - ty) * 16 + bin_y AS uy FROM ({cells_sql(PRICE_POINTS)})")
@@ -500,3 +525,59 @@ def lda_words_tile(spark, sf):
 @query(f"SELECT z, tx, ty, bin_x, bin_y, round(ln(1.0::DOUBLE + value) + z, 6) AS value FROM ({cells_sql(PRICE_POINTS)})")
 def tile_transformation(spark, sf):
     return topics.transformed(heatmap_cartesian(spark, sf), F.round(F.log(1.0 + F.col("value")) + F.col("z"), 6))
+
+
+@query(f"SELECT z, tx, ty, 2::BIGINT AS topics, true AS falling, true AS shares FROM (SELECT DISTINCT z, tx, ty FROM {_COUNTS_SQL})")
+def lda_topics_invariants(spark, sf):
+    """Of every tile: as many topics as asked for, the strongest first, with shares that are no more than a whole."""
+    per = lda_topics_tile(spark, sf).groupBy(*TILE).agg(F.count("*").alias("topics"), F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("s"), F.sum("score").alias("total"), F.min("score").alias("least"))
+    return per.select(*TILE, "topics", (F.element_at("s.score", 1) >= F.element_at("s.score", 2)).alias("falling"), ((F.col("total") <= 1 + 1e-9) & (F.col("least") > 0)).alias("shares"))
+
+
+# Projections and spreading of one's own.
+
+
+class Crosses:
+    """A point on a grid, and its neighbours to the right and above with half its weight, where the level has them."""
+
+    def places(self, z: Column, bins: int) -> Column:
+        x, y, side = F.col("cx"), F.col("cy"), F.call_function("shiftleft", F.lit(1), z) * bins
+        shifted = lambda c: F.shiftright(F.least(c * side, F.lit(1023 * 64)), 10)
+        at = lambda dx, dy, w: F.struct(*[f.alias(n) for n, f in zip(("ux", "uy"), (shifted(x) + dx, shifted(y) + dy))], F.lit(w).alias("share"))
+        inside = F.filter(F.array(at(0, 0, 1.0), at(1, 0, 0.5), at(0, 1, 0.5)), lambda p: (p["ux"] < side) & (p["uy"] < side))
+        whole = lambda c: F.call_function("div", c, F.lit(bins)).cast("int")
+        rest = lambda c: F.pmod(c, F.lit(bins)).cast("int")
+        return F.transform(inside, lambda p: F.struct(whole(p["ux"]).alias("tx"), whole(p["uy"]).alias("ty"), rest(p["ux"]).alias("bin_x"), (bins - 1 - rest(p["uy"])).cast("int").alias("bin_y"), p["share"].alias("share")))
+
+
+@query(
+    """SELECT z, (ux // 8)::INT AS tx, (uy // 8)::INT AS ty, (ux % 8)::INT AS bin_x, (7 - uy % 8)::INT AS bin_y, sum(w) AS value
+FROM (SELECT z, (least((o_custkey % 1024) * (1 << z) * 8, 65472) >> 10) + dx AS ux, (least((o_orderkey % 1024) * (1 << z) * 8, 65472) >> 10) + dy AS uy, w
+      FROM orders, (SELECT unnest([0, 1, 2]) AS z), (VALUES (0, 0, 1.0::DOUBLE), (1, 0, 0.5::DOUBLE), (0, 1, 0.5::DOUBLE)) k(dx, dy, w))
+WHERE ux < (1 << z) * 8 AND uy < (1 << z) * 8 GROUP BY ALL"""
+)
+def projection_one_to_many(spark, sf):
+    rows = _t(spark, sf, "orders").select(F.pmod("o_custkey", F.lit(1024)).alias("cx"), F.pmod("o_orderkey", F.lit(1024)).alias("cy"))
+    return tiling.binned(rows, Crosses(), "cx", "cy", [0, 1, 2], 8, [F.sum("share").alias("value")])
+
+
+@query(
+    f"""SELECT z, floor(x::DOUBLE / 32)::INT AS tx, (pow(2, z) - 1 - floor(y::DOUBLE / 32))::INT AS ty, (((x % 32) + 32) % 32)::INT AS bin_x, (((y % 32) + 32) % 32)::INT AS bin_y, sum(value) AS value
+FROM (SELECT z, tx::BIGINT * 32 + bin_x + u AS x, (pow(2, z)::BIGINT - 1 - ty) * 32 + bin_y AS y, value / 2 AS value FROM ({cells_sql(PLACE_POINTS)}), (SELECT unnest([0, 1, 2]) AS u) WHERE u < 1 + value)
+GROUP BY z, x, y"""
+)
+def spread_by_value(spark, sf):
+    """Half a bin's value to itself and to the right, the farther the larger it is."""
+    reach = F.transform(F.sequence(F.lit(0), F.least(F.col("value"), F.lit(2.0)).cast("int")), lambda u: F.struct(u.alias("dx"), F.lit(0).alias("dy"), (F.col("value") / 2).alias("value")))
+    return blur.spread(heatmap_mercator(spark, sf), reach, 32)
+
+
+@query(
+    f"""SELECT z, tx, ty, bin_x, bin_y, string_agg(term || '=' || n, '|' ORDER BY r) AS topics
+FROM (SELECT *, row_number() OVER (PARTITION BY z, tx, ty, bin_x, bin_y ORDER BY n DESC, term) AS r FROM (SELECT z, tx, ty, bin_x, bin_y, term, count(*) AS n FROM (SELECT {_BIN_SQL}, unnest(w) AS term FROM {points_sql(TEXTS_SQL, "x", "y", [0, 1, 2], 1, GRID, "list_filter(list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+|[^\\p{L}\\p{Nd}_]+'), lambda t: trim(t)), lambda t: t <> '') AS w")}) GROUP BY ALL))
+WHERE r <= 8 GROUP BY z, tx, ty, bin_x, bin_y"""
+)
+def topics_of_texts(spark, sf):
+    """Terms by splitting at the edges of words."""
+    found = topics.topics(texts(spark, sf), "x", "y", "text", GRID, [0, 1, 2], 8)
+    return found.select(*BIN, F.array_join(F.transform("topics", lambda t: F.concat(t["term"], F.lit("="), t["n"].cast("string"))), "|").alias("topics"))

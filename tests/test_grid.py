@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import geometry, grid, ip
 from quadrille.functions.grid import Cartesian, Mercator, TimeRange
 from quadrille.operators import codec, tiling
+from quadrille.operators import blur as blur_module
 from quadrille.operators.blur import blur, kernel
 
 
@@ -177,3 +178,33 @@ def test_arc_geometry(spark):
     assert geometry.sectors(1, 0.5, 3, 0.5, 8, True) == [1, 2, 3]
     assert geometry.sectors(1, 0.5, 6, 0.5, 8, False) == [1, 0, 7, 6]
     assert geometry.sectors(2, 0.5, 2, 0.7, 8, True) == [2, 3, 4, 5, 6, 7, 0, 1, 2]
+
+
+class Halves:
+    """A point in its bin of level z and, from level 1 on, in the bin across the middle."""
+
+    def places(self, z, bins):
+        at = lambda x: F.struct(F.floor(x * F.pow(F.lit(2), z)).cast("int").alias("tx"), F.lit(0).alias("ty"), F.lit(0).alias("bin_x"), F.lit(0).alias("bin_y"), x.alias("from"))
+        return F.when(F.col("a") < 0, F.lit(None)).when(z == 0, F.array(at(F.col("a")))).otherwise(F.array(at(F.col("a")), at(1 - F.col("a"))))
+
+
+def test_a_projection_of_ones_own(spark):
+    df = spark.createDataFrame([(0.2,), (0.7,), (-1.0,), (None,)], "a double").where("a IS NOT NULL")
+    for tms in (True, False):
+        got = tiling.binned(df, Halves(), "a", "a", [0, 1], 1, [F.count("*").alias("n"), F.max("from").alias("m")], tms=tms)
+        exp = [(0, 0, 0, 0, 0, 2, 0.7), (1, 0, 0 if tms else 1, 0, 0, 2, 0.3), (1, 1, 0 if tms else 1, 0, 0, 2, 0.8)]
+        assert [(*r[:6], round(r[6], 9)) for r in sorted(map(tuple, got.collect()))] == exp
+
+
+def test_spreading_of_ones_own(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 0, 0, 2.0, 1), (0, 0, 0, 1, 0, 3.0, 1), (0, 0, 0, 1, 1, None, 1)], "z int, tx int, ty int, bin_x int, bin_y int, value double, bin_t int")
+    to_right = F.when(F.col("value") > 0, F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.col("value").alias("value")), F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy"), (F.col("value") * 10).alias("value"))))
+    got = sorted(map(tuple, blur_module.spread(cells, to_right, 2).collect()))
+    assert got == [(0, 0, 0, 0, 0, 1, 2.0), (0, 0, 0, 1, 0, 1, 23.0), (0, 1, 0, 0, 0, 1, 30.0)]
+
+
+def test_addresses_step_by_step(spark):
+    cases = [*V4, *V6, "0.0.0.0", "255.255.255.255", "1.2.3.4", "+1.2.3.4", "-1.2.3.4", "1..3.4", "1.2.3.4.", "1.2.3.99999999999", "00001.2.3.4", "1.2.3.4 "]
+    df = spark.createDataFrame([(a,) for a in cases], "a string")
+    got = ip.with_points(df, _p="a").select("a", "_p", ip.place(F.col("a")).alias("q")).collect()
+    assert len(got) == len(cases) and all(r["_p"] == r["q"] for r in got) and sum(r["q"] is not None for r in got) > 8

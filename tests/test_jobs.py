@@ -180,3 +180,17 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert sorted(r["value"] for r in spark.table("heat").collect()) == [1.0, 2.0]
     assert tiling.bounds(rows, "x", "y").first()[:] == (0.1, 0.9, 0.1, 0.9)
+
+
+def test_the_segment_job_computes_its_cells_once(spark, tmp_path):
+    from quadrille.plans import jobs
+
+    columns = 'columns { a { type = double, index = 0 }, b { type = double, index = 1 }, c { type = double, index = 2 }, d { type = double, index = 3 } }\nsparkCsv { sep = "," }'
+    made = []
+    whole = jobs.segments.segment_heatmap
+    jobs.segments.segment_heatmap = lambda *a, **k: made.append(whole(*a, **k)) or made[-1]
+    try:
+        ran(spark, tmp_path, "xySegment", "xySegment { arcType = fullline, x1Column = a, y1Column = b, x2Column = c, y2Column = d, projection = cartesian, xyBounds = [0, 0, 16, 16] }", "1,1,14,9\n", columns)
+    finally:
+        jobs.segments.segment_heatmap = whole
+    assert len(made) == 1 and made[0].storageLevel.useDisk

@@ -122,3 +122,14 @@ def test_two_stages_are_one(spark):
 def test_fading(spark, gap, expected):
     df = spark.range(8).select(lines.fading(F.col("id"), F.lit(8).cast("long"), 4, F.lit(gap)).alias("s"), "id").orderBy("id")
     assert [r["s"] for r in df.collect()] == expected
+
+
+def test_equal_segments_stay_two(spark):
+    df = spark.createDataFrame([(0.05, 0.05, 0.95, 0.55)] * 2, "a double, b double, c double, d double")
+    ends = ("a", "b", "c", "d")
+    once, twice = df.limit(1), df
+    for f in (lambda x: segments.segment_tiles(x, ends, [2], Cartesian(), 8, leader=9), lambda x: segments.fading_segments(x, ends, [2], Cartesian(), 8, 9)):
+        assert sorted(map(tuple, f(twice).collect())) == sorted([tuple(r) for r in f(once).collect()] * 2)
+    # A number of the caller's own is kept.
+    kept = segments.segment_tiles(twice.selectExpr("*", "7 AS mine"), ends, [2], Cartesian(), 8, ["mine"], 9)
+    assert kept.columns[0] == "mine" and kept.count() == 2 * segments.segment_tiles(once, ends, [2], Cartesian(), 8, leader=9).count()
