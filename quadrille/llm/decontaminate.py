@@ -206,7 +206,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     ends before end_word. A word is a run of ASCII letters and digits or non-ASCII characters, ASCII letters in
     lower case. All pairs are found whose match has n words of the item together as they are, however many documents
     have them; edits that leave no n words together hide an item. Null and empty texts and items have no pairs, and
-    neither do items of fewer than n words, for which a match would say nothing. Null ids stay null; every row is a
+    neither do items of fewer than n words, for which a match would say nothing. Of equally good passages of an item the first counts. Null ids stay null; every row is a
     document, and every row of the benchmark an item, so repeated ones give repeated pairs. Empty tables give no rows.
     Other columns are not read.
     """

@@ -221,8 +221,8 @@ def extracted(df: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
     A null page has a null text; one that is empty, or has no prose, an empty text. Unclosed and crossed tags are closed as
     browsers do with paragraphs, list items and table cells, and a head at the first tag or text that may not stand in
-    it; an unclosed comment, script or style takes the rest of the page, any other element no more than its own tag. Texts of inline tags are joined, blocks are put on lines of their own. Null and repeated ids stay. An
-    empty table gives no rows. Other columns are not read.
+    it; an unclosed comment, script or style takes the rest of the page, any other element no more than its own tag. Texts of inline tags are joined, blocks are put on lines of their own. A path whose value is
+    just the threshold is content. Null and repeated ids stay. An empty table gives no rows. Other columns are not read.
     """
     batches(df.sparkSession)
     slim = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))

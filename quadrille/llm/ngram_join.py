@@ -44,8 +44,9 @@ U64 = np.uint64
 N, LEAST = 3, 0.5
 #: Documents that may hold an n-gram which is indexed by itself; at most what a census tells apart.
 RARE = 64
-#: N-grams of a document per class of frequent n-grams, k: with the least similarity 1/2 a document of n frequent ones has
-#: about n (1/2 + 1/k)^2 k / 2 pairs in each division into classes: n for 2, 1.1 n for 4, 1.6 n for 8 and 8.5 n for 64, with a prefix n / k longer.
+#: N-grams of a document per class of frequent n-grams, k, or up to twice as many: with the least similarity 1/2 a document of n frequent ones has
+#: about n (1/2 + 1/k)^2 k / 2 pairs in each of the one or two divisions into classes that its size takes: n for 2, 1.1 n for 4, 1.6 n for 8 and
+#: 8.5 n for 64, with a prefix that is n / k longer.
 PER_CLASS = 4
 #: Pairs that are made at once.
 SLICE = 1 << 21
