@@ -6,13 +6,12 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontaminate, lines, ngram_join, pieces, quality
-from quadrille.llm.cluster import shared_folder
+from quadrille.llm.cluster import Shelf
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,13 +51,14 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir; what is between them is kept in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages over the documents of sf_dir. What is between two stages is kept in the shared folder until the later one is written, the last of it until the session's end."""
+    docs, shelf = spark.read.parquet(f"{sf_dir}/documents.parquet"), Shelf(spark)
+    before: DataFrame | None = None
+    for _, stage in STAGES[:-1]:
+        docs = shelf.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            shelf.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
