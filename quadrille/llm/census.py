@@ -27,6 +27,8 @@ from quadrille.llm.cluster import batches, partitions
 
 #: Bytes of text in a chunk, unless a single text is longer.
 CHUNK = 4 << 20
+#: Bytes of input whose names are counted together in one worker.
+RANGE = 16 << 20
 #: Counts above this are told as this.
 MOST = 255
 
@@ -140,10 +142,16 @@ def answers(table: pa.Table) -> tuple[bytes, np.ndarray]:
     return found[0][1], np.concatenate(counts) if counts else np.zeros(0, np.uint8)
 
 
-def sent(df: DataFrame, names: Namer) -> DataFrame:
+def parts_for(df: DataFrame) -> int:
+    """Into how many ranges names are cut: as many as the session has partitions, and so many more that a range's share of the input, by Spark's estimate, is no larger than RANGE bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # What Spark cannot estimate counts as larger than anything.
+    return max(partitions(df.sparkSession), -(-size // RANGE) if size < 1 << 60 else 1)
+
+
+def sent(df: DataFrame, names: Namer, parts: int) -> DataFrame:
     """The rows of df, which has a column text without nulls, on their way to the count."""
     batches(df.sparkSession)
-    parts = partitions(df.sparkSession)
     return df.mapInArrow(lambda b: _send(b, names, parts), SENT)
 
 

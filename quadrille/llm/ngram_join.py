@@ -427,7 +427,7 @@ class Join:
         self.shelf = shelf = Shelf(df.sparkSession)
         rare = min(rare, census.MOST - 1)
         docs = slim(df, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("key"), "text")
-        told = census.told(census.sent(docs, lambda data, at: X.shingles(data, at, n)))
+        told = census.told(census.sent(docs, lambda data, at: X.shingles(data, at, n), census.parts_for(docs)))
         left = told.groupBy("chunk").applyInArrow(lambda t: _left(t, n, least), _sql(_LEFT))
         left = shelf.keep(left.withColumn("rid", F.monotonically_increasing_id()))
         self.members = shelf.keep(left.select("doc_id", "key", "f1", "f2"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from quadrille.llm import census
 from quadrille.llm import text as X
-from quadrille.llm.cluster import partitions, slim
+from quadrille.llm.cluster import slim
 
 U64 = np.uint64
 #: Words of the shortest repeat.
@@ -221,9 +221,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     df has to be a scan or otherwise give the same rows
     when a task runs again.
     """
-    parts = partitions(df.sparkSession)
     docs = slim(df, id_col, text_col).where("text IS NOT NULL")
-    revealed = census.told(census.sent(docs, lambda data, at: _names(data, at, n)))
+    parts = census.parts_for(docs)
+    revealed = census.told(census.sent(docs, lambda data, at: _names(data, at, n), parts))
     suspects = revealed.groupBy("chunk").applyInArrow(lambda t: _suspects(t, parts, n), census.SENT)
     verified = census.told(suspects)
     return verified.groupBy("chunk").applyInArrow(lambda t: _repeats(t, n), "doc_id long, start_word long, end_word long, n_words long")

@@ -4,12 +4,14 @@ import heapq
 import itertools
 import json
 import math
+import pathlib
 import random
 import re
 import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quadrille.llm import decontaminate, html_text, language, lines, ngram_join, pieces, quality, secret_scan, shards, substrings
+from quadrille.llm import census, cluster, decontaminate, html_text, language, lines, ngram_join, pieces, quality, secret_scan, shards, substrings
 from quadrille.llm import text as X
 
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -910,6 +912,53 @@ def test_very_long_texts_elsewhere(docs, spark):
     assert html_text.extract(page)[0].count("\n") == 9_999
 
 
+def test_the_shelf(docs, monkeypatch):
+    spark = docs([]).sparkSession
+    shelf = cluster.Shelf(spark)
+    before = spark.conf.get(cluster._CLEANUP)
+    a, b = shelf.keep(docs([(1, "a"), (2, "b")]).groupBy("doc_id").count()), shelf.keep(docs([]))
+    folder = pathlib.Path(shelf.folder.removeprefix("file:"))
+    assert sorted(p.name for p in folder.iterdir()) == ["1", "2"] and a.count() == 2 and b.count() == 0 and b.dtypes == docs([]).dtypes
+    shelf.drop(a)
+    assert [p.name for p in folder.iterdir()] == ["2"] and spark.conf.get(cluster._CLEANUP) == before
+    cluster._cleared()
+    assert not folder.exists()
+    shelf.held.clear()
+
+
+def test_a_cluster_has_to_name_its_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        getConf, getCheckpointDir = (lambda self: Conf()), (lambda self: None)
+
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            cluster.shared_folder(SimpleNamespace(conf=Conf(), sparkContext=Context(master)))
+
+
+def test_batches_are_only_made_smaller(docs):
+    conf = docs([]).sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    cluster.batches(docs([]).sparkSession)
+    was = int(conf.get(name))
+    cluster.batches(docs([]).sparkSession, 65_536)
+    assert int(conf.get(name)) == was <= 2048
+
+
+def test_ranges_follow_the_input(docs, monkeypatch):
+    df = docs([(i, "some words here") for i in range(50)])
+    few = census.parts_for(df)
+    monkeypatch.setattr(census, "RANGE", 10)
+    assert census.parts_for(df) > few
+    assert sorted(rows(ngram_join.classes(df)))[:2] == [(0, 0, 49), (1, 0, 49)]
+
+
 def test_very_long_texts(docs):
     long = prose(random.Random(20), 120_000, 50_000)
     df = docs([(1, long), (2, "short text of its own"), (3, long)])
