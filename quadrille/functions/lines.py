@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,14 +101,14 @@ def arcs(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, angle:
         from_x, from_y = x.copy(), y.copy()
         # Lower bound, value and upper bound of the squared distance across, kept while steps go the same way.
         bound, kept = np.zeros((3, len(x))), np.full(len(x), -1)
-        out: list[list[tuple[int, int]]] = [[] for _ in range(len(x))]
+        # Of each step, which arcs take it and where they are then.
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         live = np.flatnonzero(np.isfinite(cx) & np.isfinite(cy))
         step = 0
         while len(live):
             if within is not None:
                 live = live[np.hypot(x[live] - from_x[live], y[live] - from_y[live]) < within]
-            for i in live.tolist():
-                out[i].append((int(x[i]), int(y[i])))
+            taken.append((live, x[live], y[live]))
             step += 1
             live = live[step < most[live]]
             if not len(live):
@@ -146,7 +146,9 @@ def arcs(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, angle:
             on_way = (f - oct_) % 8 <= ahead[live]
             ok = np.where(f == l_, (oct_ == f) & (s2 <= slope) & (slope <= s1), np.where(oct_ == f, slope <= s1, np.where(oct_ == l_, s2 <= slope, on_way)))
             live = live[ok]
-    return [np.array(p, np.int64).reshape(-1, 2) for p in out]
+    which, *at = (np.concatenate(c) if taken else np.zeros(0, np.int64) for c in (list(zip(*taken)) or [()] * 3))
+    points = np.stack(at, axis=1).astype(np.int64)[np.argsort(which, kind="stable")]
+    return np.split(points, np.cumsum(np.bincount(which, minlength=len(x1)))[:-1]) if len(x1) else []
 
 
 def leader_arcs(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, angle: float, leader: float) -> list[np.ndarray]:
@@ -166,11 +168,13 @@ def leader_arcs(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray,
 def arc_points(df: DataFrame, angle: float = THIRD, leader: float | None = None) -> DataFrame:
     """Each row once for each bin of its clockwise arc, in columns ux and uy."""
 
-    @F.pandas_udf("array<struct<ux: long, uy: long>>")
-    def walked(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-        points = (x1.to_numpy(), y1.to_numpy(), x2.to_numpy(), y2.to_numpy())
+    @F.arrow_udf("array<struct<ux: long, uy: long>>")
+    def walked(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+        points = [c.to_numpy(zero_copy_only=False) for c in (x1, y1, x2, y2)]
         made = arcs(*points, angle) if leader is None else leader_arcs(*points, angle, leader)
-        return pd.Series([[{"ux": a, "uy": b} for a, b in p.tolist()] for p in made])
+        flat = np.concatenate(made) if made else np.zeros((0, 2), np.int64)
+        ends_ = np.cumsum([0, *map(len, made)])
+        return pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["ux", "uy"]))
 
     out = df.withColumn("_p", F.explode(walked("ux1", "uy1", "ux2", "uy2")))
     return out.withColumns({"ux": F.col("_p.ux"), "uy": F.col("_p.uy")}).drop("_p")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +18,43 @@ def _place(cells: DataFrame, bins: int) -> Column:
     return grid.linear(F.col("bin_x"), F.col("bin_y"), bins, F.col("bin_t") if "bin_t" in cells.columns else None)
 
 
+#: Bytes of tiles that are made at once.
+_AT_ONCE = 16 << 20
+
+
+def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        step = max(1, _AT_ONCE // (8 * size))
+        for lo in range(0, whole.num_rows, step):
+            batch = whole.slice(lo, step)
+            lists = batch.column(3)
+            at = lists.offsets.to_numpy()
+            places, values = (lists.values.field(k).to_numpy()[at[0] : at[-1]] for k in range(2))
+            tiles = np.zeros((batch.num_rows, size), "<f8")
+            tiles[np.repeat(np.arange(batch.num_rows), np.diff(at)), places] = values
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t.tobytes() for t in tiles], pa.binary())], [*TILE, "payload"])
+
+
 def dense(cells: DataFrame, bins: int, buckets: int = 1) -> DataFrame:
     """(z, tx, ty, payload): every bin of a tile as a little-endian double, rows of x, then y, then time; tiles of nothing but zeros go."""
     size = bins * bins * buckets
+    listed = cells.where(F.col("value") != 0).select(*TILE, _place(cells, bins).cast("int").alias("p"), "value").groupBy(*TILE).agg(F.collect_list(F.struct("p", "value")).alias("c"))
+    return listed.mapInArrow(lambda b: _packed(b, size), "z int, tx int, ty int, payload binary")
 
-    @F.pandas_udf("binary")
-    def packed(places: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for p, v in zip(places, values):
-            tile = np.zeros(size, "<f8")
-            tile[np.asarray(p)] = v
-            out.append(tile.tobytes())
-        return pd.Series(out)
 
-    listed = cells.where(F.col("value") != 0).select(*TILE, _place(cells, bins).alias("p"), "value").groupBy(*TILE).agg(F.collect_list(F.struct("p", "value")).alias("c"))
-    return listed.select(*TILE, packed(F.col("c.p"), F.col("c.value")).alias("payload"))
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, raw in enumerate(batch.column(3).to_pylist()):
+            tile = np.frombuffer(raw or b"", "<f8")
+            at = np.flatnonzero(tile)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(k)[i], len(at)) for k in range(3)), pa.array(at, pa.int32()), pa.array(tile[at])], [*TILE, "p", "value"])
 
 
 def from_dense(tiles: DataFrame, bins: int, payload: str = "payload") -> DataFrame:
     """(z, tx, ty, bin_x, bin_y, bin_t, value) of the bins that are not zero."""
-
-    @F.pandas_udf("array<struct<p: int, v: double>>")
-    def unpacked(column: pd.Series) -> pd.Series:
-        out = []
-        for raw in column:
-            tile = np.frombuffer(raw, "<f8")
-            at = np.flatnonzero(tile)
-            out.append([{"p": int(p), "v": float(tile[p])} for p in at])
-        return pd.Series(out)
-
-    rows = tiles.select(*TILE, F.explode(unpacked(payload)).alias("c"))
-    return rows.withColumns(grid.from_linear(F.col("c.p"), bins)).select(*TILE, "bin_x", "bin_y", "bin_t", F.col("c.v").alias("value"))
+    rows = tiles.select(*TILE, payload).mapInArrow(_unpacked, "z int, tx int, ty int, p int, value double")
+    return rows.withColumns(grid.from_linear(F.col("p"), bins)).select(*TILE, "bin_x", "bin_y", "bin_t", "value")
 
 
 def _text(term: Column) -> Column:
