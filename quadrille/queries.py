@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -345,12 +346,52 @@ def fading_line(spark, sf):
     return segments.fading_segments(places(spark, sf), ENDS, [0, 2], BOX, 32, 8, ["vec_id"])
 
 
-@query()
+def arcs_sql(ends: str, keep: str, leader: float | None = None, angle: float = geometry.THIRD) -> str:
+    """Bins of clockwise arcs, one recursive step a bin; leader: from both ends where these do not meet."""
+    octant = lambda x, y: f"CASE WHEN {x} = 0 AND {y} = 0 THEN 0 WHEN {x} >= 0 AND {y} > 0 THEN (CASE WHEN {y} > {x} THEN 1 ELSE 0 END) WHEN {x} < 0 AND {y} >= 0 THEN (CASE WHEN -{x} > {y} THEN 3 ELSE 2 END) WHEN {x} <= 0 AND {y} < 0 THEN (CASE WHEN -{y} > -{x} THEN 5 ELSE 4 END) WHEN {x} > -{y} THEN 7 ELSE 6 END"
+    rise = 2.0 * math.tan(angle / 2.0)
+    whole = "true" if leader is None else f"NOT ({angle!r}::DOUBLE > 4.0::DOUBLE * asin(least(1.0::DOUBLE, {float(leader)!r}::DOUBLE / (chord / {math.sin(angle / 2.0)!r}::DOUBLE))) AND {float(leader)!r}::DOUBLE <= chord / {math.sin(angle / 2.0)!r}::DOUBLE)"
+    back = "SELECT false AS back" if leader is None else "SELECT unnest([false, true]) AS back"
+    return f"""(
+WITH RECURSIVE centers AS (
+    SELECT *, (x1 + x2) / 2.0::DOUBLE + (y2 - y1) / {rise!r}::DOUBLE AS cx, (y1 + y2) / 2.0::DOUBLE - (x2 - x1) / {rise!r}::DOUBLE AS cy, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS chord
+    FROM (SELECT *, ux1::DOUBLE AS x1, uy1::DOUBLE AS y1, ux2::DOUBLE AS x2, uy2::DOUBLE AS y2 FROM {ends}) WHERE {keep}
+), octants AS (
+    SELECT *, {octant("(x1 - cx)", "(y1 - cy)")} AS f, {octant("(x2 - cx)", "(y2 - cy)")} AS l, (y1 - cy) / (x1 - cx) AS s1, (y2 - cy) / (x2 - cx) AS s2, ceil(8 * sqrt((x1 - cx) * (x1 - cx) + (y1 - cy) * (y1 - cy))) + 16 AS most, {whole} AS entire
+    FROM centers
+), begun AS (
+    SELECT z, cx, cy, f, l, s1, s2, most, back, CASE WHEN f = l AND NOT s1 < s2 THEN 8 ELSE (f - l + 8) % 8 END AS ahead, CASE WHEN back THEN x2 ELSE x1 END AS x, CASE WHEN back THEN y2 ELSE y1 END AS y,
+           CASE WHEN entire THEN 1e300::DOUBLE ELSE {float(leader or 0)!r}::DOUBLE END AS within
+    FROM octants, ({back}) WHERE NOT (entire AND back)
+), walk AS (
+    SELECT *, x AS fx, y AS fy, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS mid, 0.0::DOUBLE AS hi, -1 AS kept, 0 AS step FROM begun WHERE within > 0
+    UNION ALL
+    SELECT z, cx, cy, f, l, s1, s2, most, back, ahead, x, y, within, fx, fy, lo, mid, hi, axis, step
+    FROM (SELECT *, {octant("(x - cx)", "(y - cy)")} AS o, (y - cy) / (x - cx) AS slope FROM (
+        SELECT * REPLACE (CASE WHEN axis = 0 THEN m + s ELSE c0 + turn END AS x, CASE WHEN axis = 0 THEN c0 + turn ELSE m + s END AS y,
+                          CASE WHEN axis = 1 THEN least(low, high) ELSE low END AS lo, CASE WHEN axis = 1 THEN greatest(low, high) ELSE high END AS hi, now AS mid, step + 1 AS step)
+        FROM (SELECT *, CASE WHEN now < lo THEN -side WHEN now >= hi THEN side ELSE 0 END AS turn,
+                     CASE WHEN now < lo THEN (c - side - 0.5::DOUBLE * side) * (c - side - 0.5::DOUBLE * side) WHEN now >= hi THEN hi ELSE lo END AS low,
+                     CASE WHEN now < lo THEN lo WHEN now >= hi THEN (c + side + 0.5::DOUBLE * side) * (c + side + 0.5::DOUBLE * side) ELSE hi END AS high
+              FROM (SELECT *, mid - s * 2.0::DOUBLE * (m - mc) - 1.0::DOUBLE AS now, CASE WHEN c > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side
+                    FROM (SELECT * REPLACE (CASE WHEN kept = axis THEN lo ELSE least((c - 0.5::DOUBLE) * (c - 0.5::DOUBLE), (c + 0.5::DOUBLE) * (c + 0.5::DOUBLE)) END AS lo, CASE WHEN kept = axis THEN mid ELSE c * c END AS mid,
+                                            CASE WHEN kept = axis THEN hi ELSE greatest((c - 0.5::DOUBLE) * (c - 0.5::DOUBLE), (c + 0.5::DOUBLE) * (c + 0.5::DOUBLE)) END AS hi)
+                          FROM (SELECT *, c0 - cc AS c FROM (
+                              SELECT *, CASE WHEN axis = 0 THEN x ELSE y END AS m, CASE WHEN axis = 0 THEN y ELSE x END AS c0, CASE WHEN axis = 0 THEN cx ELSE cy END AS mc, CASE WHEN axis = 0 THEN cy ELSE cx END AS cc
+                              FROM (SELECT *, CASE WHEN oct IN (1, 2, 5, 6) THEN 0 ELSE 1 END AS axis, (CASE WHEN oct IN (1, 2, 3, 4) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * (CASE WHEN back THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) AS s
+                                    FROM (SELECT *, {octant("(x - cx)", "(y - cy)")} AS oct FROM walk WHERE step + 1 < most)))))))))
+    WHERE (CASE WHEN f = l THEN o = f AND s2 <= slope AND slope <= s1 WHEN o = f THEN slope <= s1 WHEN o = l THEN s2 <= slope ELSE (f - o + 8) % 8 <= ahead END)
+      AND sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) < within
+)
+SELECT z, x::BIGINT AS ux, y::BIGINT AS uy FROM walk)"""
+
+
+@query(tiles_sql(arcs_sql(_ENDS, f"{_LENGTH} BETWEEN 16 AND 1048576"), 32))
 def segment_arc(spark, sf):
     return segments.segment_heatmap(places(spark, sf), ENDS, [0, 2], BOX, 32, shape="fullarc", low=4, high=1024)
 
 
-@query()
+@query(tiles_sql(arcs_sql(_ENDS, f"{_LENGTH} BETWEEN 16 AND 1048576", 8), 32))
 def segment_leader_arc(spark, sf):
     return segments.segment_heatmap(places(spark, sf), ENDS, [0, 2], BOX, 32, shape="leaderarc", low=4, high=1024, leader=8)
 
