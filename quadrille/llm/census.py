@@ -28,7 +28,7 @@ from quadrille.llm.cluster import batches, partitions
 #: Bytes of text in a chunk, unless a single text is longer.
 CHUNK = 4 << 20
 #: Bytes of input whose names are counted together in one worker.
-RANGE = 16 << 20
+RANGE = 4 << 20
 #: Counts above this are told as this.
 MOST = 255
 

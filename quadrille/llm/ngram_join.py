@@ -48,8 +48,8 @@ RARE = 64
 #: about n (1/2 + 1/k)^2 k / 2 pairs in each of the one or two divisions into classes that its size takes: n for 2, 1.1 n for 4, 1.6 n for 8 and
 #: 8.5 n for 64, with a prefix that is n / k longer.
 PER_CLASS = 4
-#: Pairs that are made at once.
-SLICE = 1 << 21
+#: Pairs that are made at once, and pairs that a task holds to find each once.
+SLICE, HELD = 1 << 19, 1 << 21
 #: Documents of one signature that are paired in one task; more are paired block by block, in a task for each two blocks.
 HOT = 1 << 13
 #: Documents of a block of neighbours, and their n-grams.
@@ -198,7 +198,7 @@ class _Pairs:
 
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.rows, self.most = 0, 2 * SLICE
+        self.rows, self.most = 0, HELD
 
     def add(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for a, b in pairs:
