@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterable
 from typing import Protocol
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -54,6 +55,15 @@ class Files:
         os.remove(self._path(name))
 
 
+def zipped(data: bytes) -> bytes:
+    """The bytes as gzip; the same bytes give the same."""
+    return gzip.compress(data, mtime=0)
+
+
+def unzipped(data: bytes) -> bytes:
+    return gzip.decompress(data)
+
+
 class S3:
     """Objects of a bucket, compressed if asked for; needs boto3."""
 
@@ -65,14 +75,14 @@ class S3:
         self.client = boto3.client("s3", aws_access_key_id=access, aws_secret_access_key=secret)
         self.bucket, self.zipped = bucket, zipped
 
-    def put(self, name: str, data: bytes) -> None:
+    def put(self, name: str, data: bytes, content_type: str = "application/octet-stream") -> None:
         extra = {"ContentEncoding": "gzip"} if self.zipped else {}
-        self.client.put_object(Bucket=self.bucket, Key=name, Body=gzip.compress(data) if self.zipped else data, **extra)
+        self.client.put_object(Bucket=self.bucket, Key=name, Body=zipped(data) if self.zipped else data, ContentType=content_type, **extra)
 
     def get(self, name: str) -> bytes:
         found = self.client.get_object(Bucket=self.bucket, Key=name)
         data = found["Body"].read()
-        return gzip.decompress(data) if found.get("ContentEncoding") == "gzip" else data
+        return unzipped(data) if found.get("ContentEncoding") == "gzip" else data
 
     def delete(self, name: str) -> None:
         self.client.delete_object(Bucket=self.bucket, Key=name)
@@ -84,15 +94,40 @@ class S3:
         self.client.delete_bucket(Bucket=self.bucket)
 
 
+def settings_of(*paths: str) -> dict[str, str]:
+    """The properties of configuration files in XML; later files win."""
+    out: dict[str, str] = {}
+    for path in paths:
+        for entry in ElementTree.parse(path).getroot().iter("property"):
+            if (name := entry.findtext("name")) is not None:
+                out[name.strip()] = (entry.findtext("value") or "").strip()
+    return out
+
+
+def address_of(host: str | list[str]) -> dict[str, str | int]:
+    """Host and port of a Thrift server."""
+    if isinstance(host, str):
+        return {"host": host}
+    found = settings_of(*host)
+    named = found.get("hbase.thrift.host") or found.get("hbase.zookeeper.quorum", "").split(",")[0].split(":")[0].strip()
+    if not named:
+        raise ValueError(f"no host is named in {host}")
+    return {"host": named, "port": int(found.get("hbase.regionserver.thrift.port", 9090))}
+
+
 class HBase:
-    """Cells of a table, one column; needs happybase."""
+    """Cells of a table, one column; needs happybase.
+
+    host: of the Thrift server, or configuration files, which name it as hbase.thrift.host or, where they do not, by the first
+    host of hbase.zookeeper.quorum; hbase.regionserver.thrift.port is its port.
+    """
 
-    def __init__(self, host: str, table: str, family: str = "tileData", qualifier: str = ""):
+    def __init__(self, host: str | list[str], table: str, family: str = "tileData", qualifier: str = ""):
         try:
             import happybase
         except ImportError as e:
             raise RuntimeError("an HBase store needs happybase") from e
-        self.connection = happybase.Connection(host)
+        self.connection = happybase.Connection(**address_of(host))
         if table.encode() not in self.connection.tables():
             self.connection.create_table(table, {"tileData": {}, "tileMetaData": {}})
         self.table, self.cell = self.connection.table(table), f"{family}:{qualifier}".encode()
@@ -145,7 +180,7 @@ def s3(bucket: str, layer: str, access: str | None = None, secret: str | None =
     return Sink(lambda: S3(bucket, access, secret), layer, suffix=suffix)
 
 
-def hbase(host: str, layer: str, qualifier: str = "") -> Sink:
+def hbase(host: str | list[str], layer: str, qualifier: str = "") -> Sink:
     return Sink(lambda: HBase(host, layer, "tileData", qualifier), layer, separator=",", suffix="", prefix="", make_meta=lambda: HBase(host, layer, "tileMetaData"))
 
 

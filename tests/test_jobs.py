@@ -1,5 +1,8 @@
+import io
 import json
 import os
+import sys
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +197,42 @@ def test_the_segment_job_computes_its_cells_once(spark, tmp_path):
     finally:
         jobs.segments.segment_heatmap = whole
     assert len(made) == 1 and made[0].storageLevel.useDisk
+
+
+def test_clients_with_stand_ins(tmp_path, monkeypatch):
+    """The libraries are not here; what is asked of them is."""
+    objects, asked = {}, {}
+
+    class Client:
+        def put_object(self, Bucket, Key, Body, **extra):  # noqa: N803
+            objects[Key] = {"Body": io.BytesIO(Body), **extra}
+
+        def get_object(self, Bucket, Key):  # noqa: N803
+            return objects[Key]
+
+    monkeypatch.setitem(sys.modules, "boto3", SimpleNamespace(client=lambda *_, **__: Client()))
+    for zipped in (True, False):
+        store = sinks.S3("b", zipped=zipped)
+        store.put("k", b"tile" * 50, "image/png")
+        assert objects["k"]["ContentType"] == "image/png" and ("ContentEncoding" in objects["k"]) is zipped and store.get("k") == b"tile" * 50
+    assert sinks.unzipped(sinks.zipped(b"x")) == b"x" and sinks.zipped(b"x") == sinks.zipped(b"x")
+
+    class Connection:
+        def __init__(self, **address):
+            asked.update(address)
+
+        def tables(self):
+            return [b"t"]
+
+        def table(self, name):
+            return {}
+
+    monkeypatch.setitem(sys.modules, "happybase", SimpleNamespace(Connection=Connection))
+    site = tmp_path / "site.xml"
+    site.write_text("<configuration><property><name>hbase.zookeeper.quorum</name><value>a.example:2181, b.example</value></property><property><name>hbase.regionserver.thrift.port</name><value>9191</value></property></configuration>")
+    sinks.HBase([str(site)], "t")
+    assert asked == {"host": "a.example", "port": 9191}
+    (tmp_path / "more.xml").write_text("<configuration><property><name>hbase.thrift.host</name><value>c.example</value></property></configuration>")
+    assert sinks.address_of([str(site), str(tmp_path / "more.xml")])["host"] == "c.example" and sinks.address_of("h") == {"host": "h"}
+    with pytest.raises(ValueError):
+        sinks.address_of([])
