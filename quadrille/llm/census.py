@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quadrille.llm import text as X
 from quadrille.llm.cluster import batches, partitions
@@ -155,6 +156,29 @@ def sent(df: DataFrame, names: Namer, parts: int) -> DataFrame:
     return df.mapInArrow(lambda b: _send(b, names, parts), SENT)
 
 
+def _tallied(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tally() of each range, in the order of ranges; texts come first and pass."""
+    held: list[pa.RecordBatch] = []
+    now = -1
+    for batch in batches_:
+        part = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(part)]):
+            own = batch.slice(lo, hi - lo)
+            if hi == lo or part[lo] < 0:
+                yield own.select([1, 2, 3])
+                continue
+            if held and part[lo] != now:
+                yield from tally(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(own)
+            now = part[lo]
+    if held:
+        yield from tally(pa.Table.from_batches(held)).to_batches()
+
+
 def told(rows: DataFrame) -> DataFrame:
-    """The answers to what was sent, to be grouped by chunk."""
-    return rows.groupBy("part").applyInArrow(tally, TOLD)
+    """The answers to what was sent, to be grouped by chunk. Ranges are dealt to tasks by turns, so that none gets more than another."""
+    tasks = partitions(rows.sparkSession)
+    slot = F.pmod(F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.col("part")), F.lit(tasks)).cast("int")
+    return rows.repartitionById(tasks, slot).sortWithinPartitions("part").mapInArrow(_tallied, TOLD)
