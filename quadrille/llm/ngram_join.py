@@ -22,6 +22,14 @@ still suffices; their first common one never rules them out. Candidates
 are verified where blocks of documents meet: representatives are numbered so that
 near copies are neighbours, and a list of n-grams travels once for each block that has
 candidates of its own, not once for each candidate.
+
+Documents that are indexed under pairs of n-grams are called dense: what they have
+is frequent, so that their candidates would grow with the square of the input.
+They have blocks of their own, and a block is indexed as if it were one document,
+once for each pair of n-grams that any of its documents has. Where two blocks meet
+all their documents are compared at once, by a product of two matrices of zeros and
+ones, and what is passed on is the number of links of each document and a forest that
+connects the same, unless the pairs themselves are asked for.
 """
 
 from __future__ import annotations
@@ -31,13 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import census
 from quadrille.llm import text as X
-from quadrille.llm.cluster import Shelf, slim, text_key
+from quadrille.llm.cluster import Shelf, partitions, slim, text_key
 
 U64 = np.uint64
 #: Words of an n-gram, and the least Jaccard similarity.
@@ -54,15 +63,25 @@ SLICE, HELD = 1 << 19, 1 << 21
 HOT = 1 << 13
 #: Documents of a block of neighbours, and their n-grams.
 BLOCK, BLOCK_GRAMS = 128, 1 << 20
-
-_LEFT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("home", pa.int64()), ("grams", pa.list_(pa.int64())), ("counts", pa.binary())])
+#: Set in the place of a dense document. The place of a dense block as a whole ends in WHOLE, which is no document's.
+DENSE, WHOLE = 1 << 62, 255
+#: N-grams of the documents of a dense block. 1 << SITE such blocks, or fewer with so many n-grams, travel together.
+DENSE_GRAMS, SITE, SITE_GRAMS = 1 << 17, 4, 1 << 21
+#: Columns of a matrix.
+WIDE = 1 << 13
+
+_LEFT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("home", pa.int64()), ("dense", pa.bool_()), ("grams", pa.list_(pa.int64())), ("counts", pa.binary())])
 _SIGNED = pa.schema([("sig", pa.int64()), ("before", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 #: A pair of documents, or, with a block, a row of a signature with too many.
 _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("before", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("block", pa.int64())])
+#: A dense block: its documents, with their n-grams as numbers, the n-grams that are numbered, and what the block is indexed under.
+_TILE = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("names", pa.binary()), ("sigs", pa.list_(pa.int64()))])
+#: A similar pair of dense documents; without similarity, an edge of a forest; without b, some of the links of a.
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64()), ("near", pa.int64())])
 
 
 def _sql(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -71,7 +90,12 @@ def may_differ(n: np.ndarray | int, least: float) -> np.ndarray:
     return (n - np.ceil(n * least - 1e-9)).astype(np.int64) if isinstance(n, np.ndarray) else n - math.ceil(n * least - 1e-9)
 
 
-def _left(table: pa.Table, n: int, least: float) -> pa.Table:
+def _small(n: np.ndarray, least: float) -> np.ndarray:
+    """So small that a single shared n-gram can be enough."""
+    return (n * least <= 2) & (n - may_differ(n, least) < 2) | (n <= 2 / least)
+
+
+def _left(table: pa.Table, n: int, least: float, rare: int) -> pa.Table:
     """The documents of a chunk; those that may be similar to another with their set's name and the n-grams that others share."""
     frozen, count = census.answers(table)
     texts = census.thaw(frozen)
@@ -89,6 +113,8 @@ def _left(table: pa.Table, n: int, least: float) -> pa.Table:
         names.append(pa.array(X.mix((total[edge[1:]] - total[edge[:-1]]) ^ X.mix(size.astype(U64))).view(np.int64), mask=~stays))
     keep = stays[owner] & (df > 1)
     shared = np.bincount(owner[keep], minlength=docs)
+    few = np.bincount(owner[keep & (df <= rare)], minlength=docs)
+    dense = _small(size, least) | (may_differ(size, least) + 1 - alone > few)
     at = np.concatenate(([0], np.cumsum(shared)))
     home = np.zeros(docs, U64)
     if stays.any():
@@ -98,7 +124,7 @@ def _left(table: pa.Table, n: int, least: float) -> pa.Table:
     offsets = pa.array(at, pa.int32())
     lists = pa.ListArray.from_arrays(offsets, pa.array(gram[keep].view(np.int64)))
     counts = pa.Array.from_buffers(pa.binary(), docs, [None, offsets.buffers()[1], pa.py_buffer(df[keep].tobytes())])
-    return pa.Table.from_arrays([texts.column("doc_id"), texts.column("key"), pa.array(size, pa.int32()), *names, home, lists, counts], schema=_LEFT)
+    return pa.Table.from_arrays([texts.column("doc_id"), texts.column("key"), pa.array(size, pa.int32()), *names, home, pa.array(dense), lists, counts], schema=_LEFT)
 
 
 def _single(gram: np.ndarray, salt: int) -> np.ndarray:
@@ -122,9 +148,9 @@ def _combined(n: int, frequent: np.ndarray, need: int, least: float, per_class:
     return np.unique(np.concatenate(out))
 
 
-def indexed(n: np.ndarray, at: np.ndarray, gram: np.ndarray, count: np.ndarray, least: float, rare: int, per_class: int = PER_CLASS) -> tuple[np.ndarray, ...]:
+def indexed(n: np.ndarray, at: np.ndarray, gram: np.ndarray, count: np.ndarray, least: float, rare: int, per_class: int = PER_CLASS, single: bool = True, other: bool = True) -> tuple[np.ndarray, ...]:
     """What documents of n n-grams are indexed under, given those that others share and by how many: document, signature,
-    whether it is the first of its kind there, and, of a single n-gram, how many of the document's come before it, else -1."""
+    whether it is the first of its kind there, and, of a single n-gram, how many of the document's come before it, else -1. Without ``single`` or ``other``, only the ones or the others of these."""
     size = np.diff(at)
     owner = np.repeat(np.arange(len(n)), size)
     order = np.lexsort((gram, count, owner))
@@ -132,15 +158,14 @@ def indexed(n: np.ndarray, at: np.ndarray, gram: np.ndarray, count: np.ndarray,
     differ = may_differ(n, least)
     # N-grams that nobody else has come first.
     pos = np.arange(len(gram)) - at[owner] + (n - size)[owner]
-    singles = few & (pos <= differ[owner])
+    singles = few & (pos <= differ[owner]) & single
     kinds = [(owner[singles], _single(gram[singles], 1), pos[singles])]
-    # So small that a single shared n-gram can be enough: all of them, for documents as small as this.
-    small = ((n * least <= 2) & (n - differ < 2) | (n <= 2 / least)) & (n - size <= differ)
-    every = small[owner]
+    # All of them, for documents that are small.
+    every = (_small(n, least) & (n - size <= differ) & other)[owner]
     kinds.append((owner[every], _single(gram[every], 2), np.full(every.sum(), -1)))
     many = np.bincount(owner[few], minlength=len(n))
     need = differ + 1 - (n - size)
-    for d in np.flatnonzero(need > many):
+    for d in np.flatnonzero(need > many) if other else ():
         pairs = _combined(int(n[d]), gram[at[d] + many[d] : at[d + 1]], int(need[d] - many[d]), least, per_class)
         kinds.append((np.full(len(pairs), d), pairs, np.full(len(pairs), -1)))
     first = [np.concatenate((np.ones(min(1, len(d)), bool), d[1:] != d[:-1])) for d, _, _ in kinds]
@@ -154,6 +179,7 @@ def signatures(n: int, gram: np.ndarray, df: np.ndarray, least: float, rare: int
 
 
 def _signed(batches_: Iterator[pa.RecordBatch], least: float, rare: int) -> Iterator[pa.RecordBatch]:
+    """The single n-grams that documents are indexed under."""
     for whole in batches_:
         for lo in range(0, whole.num_rows, 256):
             batch = whole.slice(lo, 256)
@@ -162,7 +188,7 @@ def _signed(batches_: Iterator[pa.RecordBatch], least: float, rare: int) -> Iter
             at = lists.offsets.to_numpy().astype(np.int64)
             gram = lists.values.to_numpy().view(U64)[at[0] : at[-1]]
             count = np.frombuffer(b"".join(told.to_pylist()), np.uint8)
-            doc, sig, first, pos = indexed(size, at - at[0], gram, count, least, rare)
+            doc, sig, first, pos = indexed(size, at - at[0], gram, count, least, rare, other=False)
             # The document's signature before this one; before the first, something that no other document has.
             before = np.empty(len(sig), U64)
             before[1:] = sig[:-1]
@@ -170,6 +196,30 @@ def _signed(batches_: Iterator[pa.RecordBatch], least: float, rare: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(before.view(np.int64)), pa.array(rid[doc]), pa.array(size[doc], pa.int32()), pa.array(pos, pa.int32())], schema=_SIGNED)
 
 
+def _tile(table: pa.Table, least: float, rare: int) -> pa.Table:
+    """A dense block, of its documents."""
+    table = table.sort_by("place").combine_chunks()
+    size, told, lists = table.column("n").to_numpy().astype(np.int64), table.column("counts").to_pylist(), table.column("grams").combine_chunks()
+    at = lists.offsets.to_numpy().astype(np.int64)
+    gram = lists.values.to_numpy().view(U64)[at[0] : at[-1]]
+    at -= at[0]
+    sigs = np.unique(indexed(size, at, gram, np.frombuffer(b"".join(told), np.uint8), least, rare, single=False)[1])
+    names, number = np.unique(gram, return_inverse=True)
+    docs = pa.table({"place": table.column("place"), "n": table.column("n"), "weight": table.column("weight"), "number": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(number, pa.int32()))})
+    row = [[table.column("block")[0].as_py()], [census.freeze(docs.combine_chunks().to_batches()[0])], [zstandard.compress(names.tobytes(), 1)], [sigs.view(np.int64)]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(row, _TILE)], schema=_TILE)
+
+
+def _tiles_signed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What dense blocks are indexed under, as _signed() has it of a document that is as large as any other."""
+    for batch in batches_:
+        for block, own in zip(batch.column("block").to_pylist(), batch.column("sigs")):
+            sig, rid = own.values.to_numpy(), block << 8 | WHOLE
+            before = np.concatenate((X.mix(np.array([rid + 1], U64)).view(np.int64), sig))[: len(sig)]
+            same = lambda value, kind: pa.array(np.full(len(sig), value), kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(before), same(rid, pa.int64()), same(1, pa.int32()), same(-1, pa.int32())], schema=_SIGNED)
+
+
 Rows = tuple[np.ndarray, ...]
 
 
@@ -312,15 +362,19 @@ def _across(table: pa.Table, least: float) -> pa.Table:
 
 
 def _numbered(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Representatives in blocks: a place is the number of its block and a place of less than 256 there."""
-    block, slot, grams = (TaskContext.get().partitionId() << 36), 0, 0
+    """Representatives in blocks: a place is the number of its block and a place of less than WHOLE there. Dense ones, which come last, have blocks of their own."""
+    block, slot, grams, site, now = (TaskContext.get().partitionId() << 36), 0, 0, 0, False
     for batch in batches_:
         place = []
-        for n in batch.column("n").to_pylist():
-            if slot == BLOCK or slot and grams + n > BLOCK_GRAMS:
+        for n, dense in zip(batch.column("n").to_pylist(), batch.column("dense").to_pylist()):
+            if slot == BLOCK or slot and (dense != now or grams + n > (DENSE_GRAMS if dense else BLOCK_GRAMS)):
+                if dense != now or dense and site + n > SITE_GRAMS:
+                    block |= (1 << SITE) - 1
                 block, slot, grams = block + 1, 0, 0
-            place.append(block << 8 | slot)
-            slot, grams = slot + 1, grams + n
+                site *= bool(block % (1 << SITE))
+            now = dense
+            place.append(dense * DENSE | block << 8 | slot)
+            slot, grams, site = slot + 1, grams + n, site + n
         yield batch.append_column("place", pa.array(place, pa.int64()))
 
 
@@ -384,6 +438,97 @@ def _verified(batches_: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         yield taken(held)
 
 
+def _whole(batches_: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in the keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches_:
+        values = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1 if batch.num_rows > 1 else []
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            own = batch.slice(lo, hi - lo)
+            if held and hi > lo and any(held[-1].column(k)[0] != own.column(k)[0] for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            if hi > lo:
+                held.append(own)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Dense:
+    """A dense block at a site: entries are the row and the n-gram of each one in its matrix, known the n-grams it has, first the number of its first document."""
+
+    def __init__(self, docs: bytes, number: np.ndarray, first: int):
+        table = census.thaw(docs)
+        lists = table.column("number").combine_chunks()
+        at = lists.offsets.to_numpy()
+        self.place, self.weight = table.column("place").to_numpy(), table.column("weight").to_numpy()
+        self.n, self.known, self.own = table.column("n").to_numpy().astype(np.int64), number, slice(first, first + table.num_rows)
+        self.entries = np.repeat(np.arange(table.num_rows), np.diff(at)), number[lists.values.to_numpy()[at[0] : at[-1]]]
+
+    def matrix(self, column: np.ndarray, width: int) -> np.ndarray:
+        row, gram = self.entries
+        at = column[gram]
+        out = np.zeros((len(self.n), width), np.float32)
+        out[row[at >= 0], at[at >= 0]] = 1
+        return out
+
+
+def _shared(x: _Dense, y: _Dense, column: np.ndarray) -> np.ndarray:
+    """How many n-grams each document of a block shares with each of another. column: -1 for every n-gram of the site."""
+    column[x.known] = 0
+    both = y.known[column[y.known] == 0]
+    column[x.known] = -1
+    total = np.zeros((len(x.n), len(y.n)))
+    for lo in range(0, len(both), WIDE):
+        own = both[lo : lo + WIDE]
+        column[own] = np.arange(len(own))
+        left = x.matrix(column, len(own))
+        total += left @ (left if x is y else y.matrix(column, len(own))).T
+        column[own] = -1
+    return total
+
+
+def _linked(batches_: Iterator[pa.RecordBatch], least: float, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """The similar pairs of the dense blocks that meet at a site, or the links and a forest of its documents."""
+
+    def batch(a: np.ndarray, b: np.ndarray | None = None, jaccard: np.ndarray | None = None, near: np.ndarray | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), f.type) if c is None else pa.array(c, f.type) for c, f in zip((a, b, jaccard, near), _LINKED)], schema=_LINKED)
+
+    for table in _whole(batches_, ("sa", "sb")):
+        x, y, docs, names = (table.column(c).to_pylist() for c in ("x", "y", "docs", "names"))
+        sent = [i for i, d in enumerate(docs) if d is not None]
+        each = [np.frombuffer(zstandard.decompress(names[i]), U64) for i in sent]
+        every, number = np.unique(np.concatenate(each), return_inverse=True)
+        blocks: dict[int, _Dense] = {}
+        first = 0
+        for i, own in zip(sent, np.split(number, np.cumsum([len(v) for v in each])[:-1])):
+            blocks[x[i]] = _Dense(docs[i], own, first)
+            first += len(blocks[x[i]].n)
+        column, near, tree = np.full(len(every), -1), np.zeros(first, np.int64), np.arange(first)
+        for p, q in sorted((p, q) for p, q, d in zip(x, y, docs) if d is None):
+            a, b = blocks[p], blocks[q]
+            shared = _shared(a, b, column)
+            jaccard = shared / np.maximum(1, a.n[:, None] + b.n - shared)
+            good = (shared > 0) & (jaccard >= least)
+            if p == q:
+                good = np.triu(good, 1)
+            if pairs:
+                i, j = np.nonzero(good)
+                yield batch(a.place[i], b.place[j], jaccard[i, j])
+                continue
+            near[a.own] += good @ b.weight
+            near[b.own] += good.T @ a.weight
+            while (apart := good & (tree[a.own][:, None] != tree[b.own])).any():
+                i = int(np.argmax(apart.any(axis=1)))
+                j = np.flatnonzero(apart[i])
+                others, at = np.unique(tree[b.own][j], return_index=True)
+                tree[np.isin(tree, others)] = tree[a.own][i]
+                yield batch(np.full(len(at), a.place[i]), b.place[j[at]])
+        if near.any():
+            yield batch(np.concatenate([b.place for b in blocks.values()])[near > 0], near=near[near > 0])
+
+
 def _forest(batches_: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Fewer edges that connect the same: of up to ``most`` of a task's at once, those that join two trees."""
     held: list[pa.RecordBatch] = []
@@ -420,41 +565,58 @@ class Join:
 
     members: (doc_id, key, f1, f2), a row for each row with an id and a text; f1 and f2 name the set of those that may be similar to others.
     reps: (place, doc_id, key, f1, f2, weight), the first document of each such set, and how many documents have it.
-    edges: (a, b, jaccard), the places of similar representatives.
+    edges: (a, b, jaccard), the places of similar representatives, without those of two dense ones unless ``pairs`` is set.
+    trees: (a, b), edges that connect what these would.
+    near: (place, near), of a dense one, parts of the number of dense documents that are similar.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare: int, hot: int = HOT):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, least: float, rare: int, hot: int = HOT, *, pairs: bool = False):
         self.shelf = shelf = Shelf(df.sparkSession)
         rare = min(rare, census.MOST - 1)
         docs = slim(df, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("key"), "text")
         told = census.told(census.sent(docs, lambda data, at: X.shingles(data, at, n), census.parts_for(docs)))
-        left = told.groupBy("chunk").applyInArrow(lambda t: _left(t, n, least), _sql(_LEFT))
+        left = told.groupBy("chunk").applyInArrow(lambda t: _left(t, n, least, rare), _sql(_LEFT))
         left = shelf.keep(left.withColumn("rid", F.monotonically_increasing_id()))
         self.members = shelf.keep(left.select("doc_id", "key", "f1", "f2"))
         open_ = left.where("f1 IS NOT NULL")
-        own = open_.groupBy("f1", "f2", "doc_id", "key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("home").alias("home"))
-        sets = own.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "key", "rid")).alias("rep"), F.first("n").alias("n"), F.first("home").alias("home"), F.count("*").alias("weight"))
-        sets = shelf.keep(sets.select("rep.*", "f1", "f2", "n", "home", "weight"))
-        numbered = sets.repartitionByRange("home", "rid").sortWithinPartitions("home", "rid")
-        self.reps = shelf.keep(numbered.mapInArrow(_numbered, "doc_id long, key long, rid long, f1 long, f2 long, n int, home long, weight long, place long"))
-        lists = shelf.keep(open_.select("rid", "grams", "counts").join(self.reps.select("rid", "place", "n"), "rid").select("place", "n", "grams", "counts"))
+        own = open_.groupBy("f1", "f2", "doc_id", "key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("home").alias("home"), F.first("dense").alias("dense"))
+        sets = own.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "key", "rid")).alias("rep"), F.first("n").alias("n"), F.first("home").alias("home"), F.first("dense").alias("dense"), F.count("*").alias("weight"))
+        sets = shelf.keep(sets.select("rep.*", "f1", "f2", "n", "home", "dense", "weight"))
+        numbered = sets.repartitionByRange("dense", "home", "rid").sortWithinPartitions("dense", "home", "rid")
+        self.reps = shelf.keep(numbered.mapInArrow(_numbered, "doc_id long, key long, rid long, f1 long, f2 long, n int, home long, dense boolean, weight long, place long"))
+        # merge: lists travel by the same plan at every size; Spark would send the other side of a small input to all instead.
+        lists = shelf.keep(open_.select("rid", "grams", "counts").hint("merge").join(self.reps.select("rid", "place", "n", "weight"), "rid").select("place", "n", "grams", "counts", "weight"))
         shelf.drop(left, sets)
-        signed = lists.mapInArrow(lambda b: _signed(b, least, rare), _sql(_SIGNED))
+        block = lambda c: F.shiftright(c, 8)
+        tiles = lists.where(F.col("place") >= DENSE).withColumn("block", block("place"))
+        tiles = shelf.keep(tiles.repartition(partitions(df.sparkSession), "block").groupBy("block").applyInArrow(lambda t: _tile(t, least, rare), _sql(_TILE)))
+        signed = lists.mapInArrow(lambda b: _signed(b, least, rare), _sql(_SIGNED)).union(tiles.select("block", "sigs").mapInArrow(_tiles_signed, _sql(_SIGNED)))
         met = shelf.keep(signed.repartition("sig").sortWithinPartitions("sig", "before").mapInArrow(lambda b: _met(b, least, hot), _sql(_MET)))
-        pairs = met.where("block IS NULL").select("a", "b")
+        found = met.where("block IS NULL").select("a", "b")
         many = met.where("block IS NOT NULL").select(F.col("a").alias("rid"), "sig", "before", "n", "pos", "block")
         if many.limit(1).count():
             blocks = many.groupBy("sig").agg(F.max("block").alias("last"))
             both = many.join(blocks, "sig").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
             # A block is paired with itself once.
-            pairs = pairs.union(both.groupBy("sig", "x", "y").applyInArrow(lambda t: _across(t, least), "a long, b long"))
-        candidates = shelf.keep(pairs.distinct().select("a", "b", F.shiftright("a", 8).alias("sa"), F.shiftright("b", 8).alias("sb")))
+            found = found.union(both.groupBy("sig", "x", "y").applyInArrow(lambda t: _across(t, least), "a long, b long"))
+        # a is not above b.
+        candidates = shelf.keep(found.where(F.col("a") < DENSE).distinct().select("a", "b", block("a").alias("sa"), block("b").alias("sb")))
+        meet = found.where(F.col("a") >= DENSE).select(block("a").alias("x"), block("b").alias("y")).union(tiles.select("block", "block")).distinct()
+        meet = shelf.keep(meet.select(F.shiftright("x", SITE).alias("sa"), F.shiftright("y", SITE).alias("sb"), "x", "y"))
         shelf.drop(met)
         asked = candidates.select("sa", "sb", F.col("a").alias("place")).union(candidates.select("sa", "sb", F.col("b").alias("place"))).distinct()
-        rows = asked.join(lists.select("place", "n", "grams"), "place").select("sa", "sb", F.lit(0).alias("kind"), F.col("place").alias("a"), F.lit(-1).cast("long").alias("b"), "n", "grams")
+        rows = asked.join(lists.select("place", "n", "grams").hint("merge"), "place").select("sa", "sb", F.lit(0).alias("kind"), F.col("place").alias("a"), F.lit(-1).cast("long").alias("b"), "n", "grams")
         rows = rows.union(candidates.select("sa", "sb", F.lit(1).alias("kind"), "a", "b", F.lit(0), F.array().cast("array<long>")))
-        self.edges = shelf.keep(rows.repartition("sa", "sb").sortWithinPartitions("sa", "sb", "kind").mapInArrow(lambda b: _verified(b, least), "a long, b long, jaccard double"))
+        edges = shelf.keep(rows.repartition("sa", "sb").sortWithinPartitions("sa", "sb", "kind").mapInArrow(lambda b: _verified(b, least), "a long, b long, jaccard double"))
         shelf.drop(candidates, lists)
+        asked = meet.select("sa", "sb", F.col("x").alias("block")).union(meet.select("sa", "sb", F.col("y").alias("block"))).distinct()
+        rows = asked.join(tiles, "block").select("sa", "sb", F.col("block").alias("x"), F.lit(None).cast("long").alias("y"), "docs", "names")
+        rows = rows.union(meet.select("sa", "sb", "x", "y", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+        dense = shelf.keep(rows.repartition(partitions(df.sparkSession), "sa", "sb").sortWithinPartitions("sa", "sb").mapInArrow(lambda b: _linked(b, least, pairs), _sql(_LINKED)))
+        shelf.drop(meet, tiles)
+        self.edges = edges.union(dense.where("jaccard IS NOT NULL").select("a", "b", "jaccard"))
+        self.trees = dense.where("b IS NOT NULL AND jaccard IS NULL").select("a", "b")
+        self.near = dense.where("near IS NOT NULL").select(F.col("a").alias("place"), "near")
 
     def copies(self) -> DataFrame:
         """(id_a, key_a, id_b, key_b): each first document of a set with the others that have it."""
@@ -469,17 +631,17 @@ class Join:
         return both.select(F.col("lo.id").alias("id_a"), F.col("lo.key").alias("key_a"), F.col("hi.id").alias("id_b"), F.col("hi.key").alias("key_b"), *more)
 
     def all_edges(self) -> DataFrame:
-        """(id_a, key_a, id_b, key_b, jaccard) between representatives, and from each to its copies."""
+        """(id_a, key_a, id_b, key_b, jaccard) between representatives, and from each to its copies, where ``pairs`` was set."""
         return self.copies().withColumn("jaccard", F.lit(1.0)).union(self.named(self.edges, "jaccard"))
 
     def classes(self) -> DataFrame:
         """(doc_id, key, root_id, root_key, n_links) of each member: the smallest document it is connected with, and how many are similar to it."""
         node = lambda s: F.struct(F.col(f"id_{s}").alias("id"), F.col(f"key_{s}").alias("key")).alias(s)
-        forest = self.edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+        forest = self.edges.select("a", "b").union(self.trees).mapInArrow(_forest, "a long, b long")
         label = components(self.named(forest).select(node("a"), node("b")), self.shelf)
         weight = lambda x, y: self.edges.select(F.col(x).alias("place"), F.col(y).alias("other"))
         both = weight("a", "b").union(weight("b", "a")).join(self.reps.select(F.col("place").alias("other"), "weight"), "other")
-        links = both.groupBy("place").agg(F.sum("weight").alias("near"))
+        links = both.select("place", F.col("weight").alias("near")).union(self.near).groupBy("place").agg(F.sum("near").alias("near"))
         sets = self.reps.join(links, "place", "left").join(label.select(F.col("node.id").alias("doc_id"), F.col("node.key").alias("key"), "root"), ["doc_id", "key"], "left")
         root = F.coalesce("root", F.struct(F.col("doc_id").alias("id"), "key"))
         sets = self.shelf.keep(sets.select("f1", "f2", root.getField("id").alias("root_id"), root.getField("key").alias("root_key"), (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
@@ -499,7 +661,7 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents. An empty table gives no rows. Other columns are not read. Exact: every pair is found and
     verified. df has to be a scan or otherwise give the same rows when a task runs again.
     """
-    return Join(df, id_col, text_col, n, least, rare).all_edges().select("id_a", "id_b", "jaccard")
+    return Join(df, id_col, text_col, n, least, rare, pairs=True).all_edges().select("id_a", "id_b", "jaccard")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, least: float = LEAST, rare: int = RARE) -> DataFrame:
@@ -521,7 +683,7 @@ def all_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     A group of k copies gives k * (k - 1) / 2 rows, and two that are similar the product of their sizes besides.
     """
-    join = Join(df, id_col, text_col, n, least, rare)
+    join = Join(df, id_col, text_col, n, least, rare, pairs=True)
     edges = join.shelf.keep(join.all_edges())
     node = lambda s: F.struct(F.col(f"id_{s}").alias("id"), F.col(f"key_{s}").alias("key"))
     edges = edges.select(node("a").alias("a"), node("b").alias("b"), "jaccard")

@@ -256,6 +256,28 @@ def test_meetings_of_a_hot_signature(docs, monkeypatch):
         assert sorted(rows(ngram_join.classes(docs(own), rare=rare))) == [(i, 0, 89) for i in range(90)]
 
 
+def test_links_of_dense_documents_are_counted_and_not_listed(docs):
+    """Groups of near copies in many blocks: links as by brute force, by far fewer rows than there are links."""
+    rng = random.Random(44)
+    texts = []
+    for base in (prose(rng, 60, 300).split(" ") for _ in range(3)):
+        for i in range(170):
+            own = list(base)
+            for k in rng.sample(range(60), i % 9):
+                own[k] = f"w{rng.randrange(12)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    own = [*enumerate(texts), *((2000 + i, "w1 w2 " + prose(rng, 50, 300)) for i in range(20))]
+    exp = {d[0]: v for d, v in linked(own).items()}
+    total = sum(n for _, n in exp.values()) // 2
+    join = ngram_join.Join(docs(own), "doc_id", "text", 3, 0.5, 8)
+    assert {d: (c, n) for d, _, c, _, n in rows(join.classes())} == exp
+    assert total > 20000 > 4 * (join.edges.count() + join.trees.count() + join.near.count())
+    got = {(a, b): j for a, b, j in rows(ngram_join.similar_pairs(docs(own), rare=8))}
+    pairs = similar(own)
+    assert got.keys() == pairs.keys() and all(math.isclose(got[k], pairs[k]) for k in pairs)
+
+
 def test_all_pairs_by_brute_force(docs):
     own = [(i, t) for i, t in corpus(5) if i is not None]
     copy = prose(random.Random(26), 40)
