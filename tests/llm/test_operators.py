@@ -278,6 +278,19 @@ def test_links_of_dense_documents_are_counted_and_not_listed(docs):
     assert got.keys() == pairs.keys() and all(math.isclose(got[k], pairs[k]) for k in pairs)
 
 
+def test_one_of_each_of_dense_documents_keeps_no_table_of_pairs(docs, monkeypatch):
+    """What the pipeline's third stage keeps between steps grows with the documents, not with their pairs."""
+    rng, kept, keep = random.Random(45), [], cluster.Shelf.keep
+    monkeypatch.setattr(cluster.Shelf, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    monkeypatch.setattr(cluster.Shelf, "drop", lambda self, *dfs: None)
+    base = prose(rng, 60, 300).split(" ")
+    own = [(i, " ".join(base[: i % 59] + [f"w{rng.randrange(12)}", f"v{rng.randrange(12)}"] + base[i % 59 + 1 :])) for i in range(400)]
+    own += [(1000 + i, prose(rng, 50, 300)) for i in range(5)]
+    left = sorted(r.doc_id for r in ngram_join.one_of_each(docs(own), rare=8).collect())
+    assert left == [0, *range(1000, 1005)]
+    assert max(df.count() for df in kept) < 20 * len(own) < 400 * 300 // 2
+
+
 def test_all_pairs_by_brute_force(docs):
     own = [(i, t) for i, t in corpus(5) if i is not None]
     copy = prose(random.Random(26), 40)
