@@ -5,8 +5,9 @@ distinct line of a chunk, its first there, so that a line which fills the
 corpus costs a row a chunk. The rows are range-partitioned by fingerprint,
 whose ranges are known beforehand because fingerprints are uniform, and sorted
 by fingerprint, document and position; one streaming pass then keeps the first
-row of every run. Only (document, position) travels back, to become a
-run-length coded bitmap of the lines to keep: the texts are never shuffled.
+row of every run. Only (document, position) travels back, sorted by document,
+to become a run-length coded bitmap of the lines to keep as it passes: the
+texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -104,18 +105,46 @@ def decode(keep: str) -> np.ndarray:
 
 
 def _bitmaps(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmap of each document, of rows in the order of documents; one may have rows in several batches."""
+    held: list[pa.RecordBatch] = []
+
+    def bitmap(positions: list[np.ndarray]) -> tuple[int, int, str]:
+        # The row that stands for the whole document may be there more than once.
+        flags = np.zeros(-1 - min(int(p.min()) for p in positions), bool)
+        for p in positions:
+            flags[p[p >= 0]] = True
+        return len(flags), int(flags.sum()), encode(flags)
+
+    def coded(docs: list[pa.RecordBatch], bitmaps: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        ids, keys = (pa.concat_arrays([d.column(c) for d in docs]) for c in (0, 1))
+        total, kept, keep = zip(*bitmaps)
+        return pa.RecordBatch.from_arrays([ids, keys, pa.array(total, pa.int64()), pa.array(kept, pa.int64()), pa.array(keep, pa.string())], ["doc_id", "key", "n_lines", "n_kept", "keep"])
+
+    def ended() -> pa.RecordBatch:
+        return coded([held[0].slice(0, 1)], [bitmap([x.column(2).to_numpy() for x in held])])
+
     for batch in batches_:
-        lists = batch.column(2)
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        total, kept, keep = [], [], []
-        for a, b in zip(at[:-1], at[1:]):
-            pos = flat[a:b]
-            flags = np.zeros(-1 - int(pos.min()), bool)
-            flags[pos[pos >= 0]] = True
-            total.append(len(flags))
-            kept.append(int(flags.sum()))
-            keep.append(encode(flags))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(kept, pa.int64()), pa.array(keep, pa.string())], ["doc_id", "key", "n_lines", "n_kept", "keep"])
+        if not batch.num_rows:
+            continue
+        missing, number, key, pos = batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        if held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in (0, 1)):
+            yield ended()
+            held = []
+        cuts = np.flatnonzero((missing[1:] != missing[:-1]) | (number[1:] != number[:-1]) | (key[1:] != key[:-1])) + 1
+        if not len(cuts):
+            held.append(batch)
+            continue
+        first = 0
+        if held:
+            held.append(batch.slice(0, cuts[0]))
+            yield ended()
+            first, cuts = cuts[0], cuts[1:]
+        starts = np.concatenate(([first], cuts))
+        if len(starts) > 1:
+            yield coded([batch.take(pa.array(starts[:-1]))], [bitmap([pos[lo:hi]]) for lo, hi in zip(starts[:-1], starts[1:])])
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield ended()
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,7 +158,8 @@ def _kept(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = _keyed(df, id_col, text_col).mapInArrow(lambda b: _candidates(b, parts), "part int, h1 long, h2 long, always boolean, doc_id long, key long, pos int")
     ordered = rows.repartitionById(parts, "part").sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_first(), "key", "pos")
     firsts = ordered.select("h1", "h2", "always", "doc_id", "key", "pos").mapInArrow(_firsts, "doc_id long, key long, pos int")
-    return firsts.groupBy("doc_id", "key").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "doc_id long, key long, n_lines long, n_kept long, keep string")
+    # Sorted and not collected: lists of positions, built as objects, fill an executor's heap.
+    return firsts.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key").mapInArrow(_bitmaps, "doc_id long, key long, n_lines long, n_kept long, keep string")
 
 
 def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,6 +103,22 @@ def test_bitmaps_round_trip(flags):
     assert lines.decode(lines.encode(np.array(flags, bool))).tolist() == flags
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_bitmaps_of_documents_in_several_batches(size):
+    # Rows of id, key and position, -1 - the number of lines for the whole document, of rows that may be equal.
+    own = [(None, 1, [-4, 0, 2]), (None, 2, [-1]), (0, 1, [-3, -3, 1, 1]), (0, 2, [-8, 0, 1, 2, 3, 4, 6]), (5, 2, [-2]), (6, 0, [-1])]
+    flat = [(i, k, p) for i, k, positions in own for p in positions]
+    kinds = (pa.int64(), pa.int64(), pa.int32())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*flat[at : at + size]), kinds)], ["doc_id", "key", "pos"]) for at in range(0, len(flat), size)]
+    got = [tuple(r.values()) for b in lines._bitmaps(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+    assert got == [(None, 1, 3, 2, "1,1,1"), (None, 2, 0, 0, ""), (0, 1, 2, 1, "0,1,1"), (0, 2, 7, 6, "5,1,1"), (5, 2, 1, 0, "0,1"), (6, 0, 0, 0, "")]
+
+
+def test_no_lists_of_positions_are_collected(docs):
+    plan = lines.keep_bitmaps(docs([(1, "a\nb")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" in plan and "Aggregate" not in plan
+
+
 # Quality rules.
 
 
