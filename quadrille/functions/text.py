@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(plain), SEPARATORS), "")
 
 
+_APART = re.compile(SEPARATORS.encode())
+#: Bytes in lower case; what separates words, as all parts of other characters do, is a space.
+_PLAIN = bytes(ord(chr(b).lower()) if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "_'") else 32 for b in range(256))
+
+
+def found(text: bytes) -> list[bytes]:
+    """The same words of a text in UTF-8, in Python: many times faster, as there are expressions only where an apostrophe is at the edge of a word."""
+    plain = text.translate(_PLAIN)
+    if b"'" in plain and (b" '" in plain or b"' " in plain or plain.startswith(b"'") or plain.endswith(b"'")):
+        return [w for w in _APART.split(plain) if w]
+    return plain.split()
+
+
 def split(text: Column, pattern: str = r"\b+") -> Column:
     """The parts of a text between matches of a pattern, without blank ones."""
     return F.filter(F.transform(F.split(text, pattern), lambda w: F.trim(w)), lambda w: w != "")

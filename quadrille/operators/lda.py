@@ -3,30 +3,44 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quadrille.operators.tiling import TILE
 from quadrille.operators.topics import dictionary
+from quadrille.shelf import Shelf
 
 #: Terms of the vocabulary, which is one array on every executor.
 VOCABULARY = 1 << 18
 
 
+def _bags(counted: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(z, tx, ty, features): a sparse vector of each tile's counts. A tile's entries are as many as the vocabulary's at most, however long its texts are."""
+    rows = counted.join(F.broadcast(known), "term", "left")
+    listed = rows.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", F.col("n").cast("double").alias("n"))))).alias("b"))
+    # What a sparse vector is stored as.
+    return listed.select(*TILE, F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("b.i").alias("indices"), F.col("b.n").alias("values")).alias("features"))
+
+
 def _fitted(counted: DataFrame, topics: int, terms: int, iterations: int, checkpoint: int, seed: int, vocabulary: int, options: dict):
     """Topic shares of each tile, and the heaviest terms of each topic."""
+    spark, shelf = counted.sparkSession, Shelf(counted.sparkSession)
     known = dictionary(counted, [], **options).select("term") if options else None
-    rows = counted.join(known, "term", "left_semi") if known is not None else counted
-    bags = rows.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("b"))
-    words = bags.select(*TILE, F.flatten(F.transform("b", lambda e: F.array_repeat(e["term"], e["n"].cast("int")))).alias("words"))
-    vector = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(words)
-    model = LDA(k=topics, maxIter=iterations, checkpointInterval=checkpoint, seed=seed, featuresCol="features").fit(vector.transform(words))
-    shares = model.transform(vector.transform(words)).select(*TILE, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
+    # Counts and vectors are kept: the vocabulary, the vectors and every iteration would count the texts again.
+    kept = shelf.keep(counted.join(known, "term", "left_semi") if known is not None else counted)
+    words = [r["term"] for r in kept.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary).select("term").toLocalIterator()]
+    bags = shelf.keep(_bags(kept.select(*TILE, "term", "n"), spark.createDataFrame(list(zip(words, range(len(words)))), "term string, i int"), len(words)))
+    # Parquet has the parts of a vector, which are read as one.
+    vectors = spark.read.schema(StructType([*[bags.schema[c] for c in TILE], StructField("features", VectorUDT())])).parquet(shelf.held[id(bags)][1])
+    shelf.drop(kept)
+    model = LDA(k=topics, maxIter=iterations, checkpointInterval=checkpoint, seed=seed, featuresCol="features").fit(vectors)
+    shares = model.transform(vectors).select(*TILE, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
     # As many rows as there are topics, whatever the data.
-    heaviest = [(r["topic"], vector.vocabulary[i], float(w)) for r in model.describeTopics(terms).collect() for i, w in zip(r["termIndices"], r["termWeights"])]
-    weights = counted.sparkSession.createDataFrame(heaviest, "topic int, term string, weight double")
+    heaviest = [(r["topic"], words[i], float(w)) for r in model.describeTopics(terms).collect() for i, w in zip(r["termIndices"], r["termWeights"])]
+    weights = spark.createDataFrame(heaviest, "topic int, term string, weight double")
     return shares, weights
 
 

@@ -2,12 +2,68 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from quadrille.functions import grid, text
 from quadrille.functions.grid import TimeRange
 from quadrille.operators.tiling import BIN, TILE, rolled_up, rolls_up
+from quadrille.shelf import batches
+
+#: Counts that a task holds before it passes them on.
+_HELD = 1 << 19
+
+
+def _listed(counters: dict[tuple, Counter], schema: pa.Schema) -> pa.RecordBatch:
+    of = pa.array(np.repeat(np.arange(len(counters)), [len(c) for c in counters.values()]))
+    keys = [pa.array(k, schema.field(i).type).take(of) for i, k in enumerate(zip(*counters))]
+    terms = pa.array([t for c in counters.values() for t in c], pa.string())
+    return pa.RecordBatch.from_arrays([*keys, terms, pa.array([n for c in counters.values() for n in c.values()], pa.int64())], schema=schema)
+
+
+def _tallied(arrived: Iterator[pa.RecordBatch], terms: list[str], stop: list[str]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task's words by the columns before the text. What is more than _HELD of them goes on in parts."""
+    some, without, counters, schema = {t.encode() for t in terms}, [t.encode() for t in stop], {}, None
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for c in counters.values():
+            for t in without:
+                c.pop(t, None)
+        if any(counters.values()):
+            yield _listed({k: c for k, c in counters.items() if c}, schema)
+        counters.clear()
+
+    for batch in arrived:
+        *keys, texts = batch.columns
+        schema = pa.schema([*[pa.field(batch.schema.names[i], k.type) for i, k in enumerate(keys)], ("term", pa.string()), ("n", pa.int64())])
+        last, words = None, []
+        for key, value in zip(zip(*(k.to_pylist() for k in keys)), texts.cast(pa.binary()).to_pylist()):
+            if value is None:
+                continue
+            if value != last:  # a text comes once for each level
+                last, words = value, text.found(value)
+            if not some or not some.isdisjoint(words):
+                counters.setdefault(key, Counter()).update(words)
+        if sum(len(c) + 1 for c in counters.values()) > _HELD:
+            yield from flushed()
+    yield from flushed()
+
+
+def _word_counts(df: DataFrame, x: str, y: str, column: str, projection, levels: list[int], bins: int, keys: list[str], tms: bool, terms: list[str] | None = None, stop: list[str] | None = None) -> DataFrame:
+    """_counts of the words of texts. A task counts them as it splits the texts, so that there is a row for each of its bins and words, and none for each word of a text."""
+    batches(df.sparkSession)
+    rollup = rolls_up(levels, bins)
+    rows = grid.point(df.withColumn("_text", F.col(column).cast("string")), projection, x, y, [max(levels)] if rollup else levels, bins, tms).select(*BIN, *keys, "_text")
+    schema = rows.drop("_text").schema.add("term", StringType()).add("n", LongType())
+    parts = rows.mapInArrow(lambda b: _tallied(b, terms or [], stop or []), schema)
+    cells = parts.groupBy(*BIN, *keys, "term").agg(F.sum("n").alias("n"))
+    return rolled_up(cells, levels, bins, [F.sum("n").alias("n")], [*keys, "term"], tms) if rollup else cells
 
 
 def _counts(df: DataFrame, x: str, y: str, tokens: Column, projection, levels: list[int], bins: int, keys: list[str], tms: bool, stop: list[str] | None = None) -> DataFrame:
@@ -35,12 +91,14 @@ def _tokens(df: DataFrame, column: str) -> Column:
     return F.col(column) if dict(df.dtypes)[column].startswith("array") else text.split(F.col(column))
 
 
-def topics(df: DataFrame, x: str, y: str, tokens: str, projection, levels: list[int], limit: int = 15, bins: int = 1, terms: list[str] | None = None, stop: list[str] | None = None, tms: bool = True) -> DataFrame:
+def topics(df: DataFrame, x: str, y: str, tokens: str, projection, levels: list[int], limit: int = 15, bins: int = 1, terms: list[str] | None = None, stop: list[str] | None = None, tms: bool = True, words: bool = False) -> DataFrame:
     """(z, tx, ty, bin_x, bin_y, topics): the most frequent terms of each bin.
 
     tokens: a list of terms, or a text. terms: only rows with one of these; stop: terms that do not count. Null
-    lists and null terms count nothing.
+    lists and null terms count nothing. words: of a text, its words in lower case instead of what is between the edges of words.
     """
+    if words:
+        return _top(_word_counts(df, x, y, tokens, projection, levels, bins, [], tms, terms, stop), BIN, limit)
     has = _tokens(df, tokens)
     rows = df.where(text.has_any(has, terms or []))
     return _top(_counts(rows, x, y, has, projection, levels, bins, [], tms, stop), BIN, limit)
@@ -55,7 +113,7 @@ def time_topics(df: DataFrame, x: str, y: str, time: str, tokens: str, projectio
 
 def term_counts(df: DataFrame, x: str, y: str, column: str, projection, levels: list[int], tms: bool = True) -> DataFrame:
     """(z, tx, ty, term, n): the words of the texts in each tile, in lower case, and how often they occur."""
-    return _counts(df, x, y, text.words(F.col(column)), projection, levels, 1, [], tms).select(*TILE, "term", "n")
+    return _word_counts(df, x, y, column, projection, levels, 1, [], tms).select(*TILE, "term", "n")
 
 
 def word_bags(df: DataFrame, x: str, y: str, column: str, projection, levels: list[int], tms: bool = True) -> DataFrame:
@@ -80,7 +138,7 @@ def dictionary(counted: DataFrame, keys: list[str] | None = None, stop: list[str
     if predefined is not None:
         seen = seen.where(F.col("term").isin([s if case_sensitive else s.lower() for s in predefined]))
     # One row a level: the docs side has as many rows as there are levels, whatever the data.
-    out = seen.groupBy(*keys, "term").agg(F.count("*").alias("df")).join(F.broadcast(docs), keys)
+    out = seen.groupBy(*keys, "term").agg(F.count("*").alias("df")).join(F.broadcast(docs), keys or None)
     share = lambda v: v if v <= 1 else v / 100.0
     if least is not None:
         out = out.where(F.col("df") >= F.lit(share(float(least))) * F.col("docs"))

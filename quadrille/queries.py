@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions import geometry, grid, ip, text
+from quadrille.functions import geometry, grid, ip
 from quadrille.functions.grid import Cartesian, Mercator, TimeRange
 from quadrille.operators import blur, codec, lda, segments, tiling, topics
 from quadrille.operators.tiling import BIN, TILE
@@ -162,10 +162,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, term) AS
 WHERE r <= {limit} GROUP BY {keys}"""
 
 
-def _tokens(spark, sf):
-    return texts(spark, sf).withColumn("tokens", text.words(F.col("text")))
-
-
 TERMS, STOP = ["the", "die", "les", "que"], ["the", "of", "and", "der", "de", "la"]
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 _BIN_SQL = "z, tx, ty, bin_x, bin_y"
@@ -173,17 +169,17 @@ _BIN_SQL = "z, tx, ty, bin_x, bin_y"
 
 @query(topics_sql(f"(SELECT {_BIN_SQL}, unnest(w) AS term FROM {TEXT_POINTS})", _BIN_SQL, 15))
 def topics_topn(spark, sf):
-    return _flat(topics.topics(_tokens(spark, sf), "x", "y", "tokens", GRID, [0, 1, 2]))
+    return _flat(topics.topics(texts(spark, sf), "x", "y", "text", GRID, [0, 1, 2], words=True))
 
 
 @query(topics_sql(f"(SELECT {_BIN_SQL}, unnest(w) AS term FROM {TEXT_POINTS} WHERE list_has_any(w, {TERMS}))", _BIN_SQL, 5))
 def topics_term_filter(spark, sf):
-    return _flat(topics.topics(_tokens(spark, sf), "x", "y", "tokens", GRID, [0, 1, 2], 5, terms=TERMS))
+    return _flat(topics.topics(texts(spark, sf), "x", "y", "text", GRID, [0, 1, 2], 5, terms=TERMS, words=True))
 
 
 @query(topics_sql(f"(SELECT * FROM (SELECT {_BIN_SQL}, unnest(w) AS term FROM {TEXT_POINTS}) WHERE term NOT IN ({_STOP_SQL}))", _BIN_SQL, 10))
 def topics_stopwords(spark, sf):
-    return _flat(topics.topics(_tokens(spark, sf), "x", "y", "tokens", GRID, [0, 1, 2], 10, stop=STOP))
+    return _flat(topics.topics(texts(spark, sf), "x", "y", "text", GRID, [0, 1, 2], 10, stop=STOP, words=True))
 
 
 @query(topics_sql(f"(SELECT z, tx, ty, bin_x, bin_y, bin_t::INT AS bin_t, event_type AS term FROM {EVENT_POINTS} WHERE {IN_JANUARY})", f"{_BIN_SQL}, bin_t", 3))
@@ -489,7 +485,7 @@ FROM (SELECT z, tx, ty, bin_x + bin_y * 1 AS p, string_agg('"' || term || '": '
 GROUP BY z, tx, ty"""
 )
 def encode_scores_json(spark, sf):
-    return codec.scores(topics.topics(_tokens(spark, sf), "x", "y", "tokens", GRID, [0, 1, 2], 5), 1)
+    return codec.scores(topics.topics(texts(spark, sf), "x", "y", "text", GRID, [0, 1, 2], 5, words=True), 1)
 
 
 @query(f"SELECT z, tx, ty, 0 AS bin, term, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY z, tx, ty ORDER BY n DESC, term) AS r FROM {_COUNTS_SQL}) WHERE r <= 5")

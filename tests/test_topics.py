@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,49 @@ def test_lda(counted):
     assert len(made) == 5 and all(r["topic"].count("|") == 2 and r["topic"].count("=") == 3 and 0 < r["score"] <= 1 for r in made)
     words = lda.words(counted, 2, 3, 2, iterations=3).collect()
     assert {r["rank"] for r in words} <= {1, 2, 3} and all(r["score"] > 0 for r in words)
+
+
+def test_lda_of_large_counts(spark):
+    """A tile is a vector, whatever its counts: as a list of its words this one had five billion."""
+    rows = [(1, x, y, t, n) for x in (0, 1) for y in (0, 1) for t, n in (("a", 3_000_000_000), ("b", 2_000_000_000), (f"only{x}{y}", 1))]
+    counted = spark.createDataFrame(rows, "z int, tx int, ty int, term string, n long")
+    made = lda.topics(counted, 2, 3, 2, iterations=2).collect()
+    assert len(made) == 8 and all(abs(sum(r["score"] for r in made if (r["tx"], r["ty"]) == at) - 1) < 1e-6 for at in ((0, 0), (1, 1)))
+    assert {t.partition("=")[0] for r in lda.topics(counted, 2, 3, 1, iterations=2, vocabulary=2).collect() for t in r["topic"].split("|")} == {"a", "b"}
+    assert {r["term"] for r in lda.words(counted, 2, 2, 2, iterations=2, stop=["a", "b"]).collect()} <= {"only00", "only01", "only10", "only11"}
+
+
+def test_lda_vectors(spark):
+    """Every tile has its counts by the vocabulary's numbers, also one that has none of its terms."""
+    counted = spark.createDataFrame([(1, 0, 0, "b", 2), (1, 0, 0, "a", 5), (1, 0, 0, "x", 1), (1, 1, 0, "x", 3)], "z int, tx int, ty int, term string, n long")
+    known = spark.createDataFrame([("a", 0), ("b", 1)], "term string, i int")
+    got = {(r["tx"], r["ty"]): (r["features"]["size"], r["features"]["indices"], r["features"]["values"]) for r in lda._bags(counted, known, 2).collect()}
+    assert got == {(0, 0): (2, [0, 1], [5.0, 2.0]), (1, 0): (2, [], [])}
+
+
+def _odd_texts(count):
+    rng = random.Random(3)
+    some = ["".join(rng.choice("aB'' \n-_9\u0130\u212a\u00e9\u2028\u00c5\U0001f600") for _ in range(rng.randint(0, 14))) for _ in range(count)]
+    return [*some, "'", "''", "'''", "a'\n", "a' 'b", "a ''' b'' c", "'Tis o'er", "\ufb01\u0131\u1e9e", "\t\x1c\x85a\x0bb"]
+
+
+def test_words_in_python(spark):
+    """The words that a task counts are those of the expression."""
+    some = _odd_texts(3000)
+    rows = spark.createDataFrame([(t,) for t in some], "s string").select("s", text.words(F.col("s")).alias("w")).collect()
+    assert [(r["s"], r["w"]) for r in rows] == [(r["s"], [w.decode() for w in text.found(r["s"].encode())]) for r in rows]
+
+
+@pytest.mark.parametrize("levels, bins, held", [([0, 1, 2], 1, 1 << 19), ([0, 1], 3, 8), ([2], 4, 0)])
+def test_words_are_counted_by_the_task(spark, monkeypatch, levels, bins, held):
+    """As the list of words gives them, in rows of bins and words and not of words of texts."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 0.1, 0.3, 0.6, 0.9, 1.5]), rng.random(), rng.choice([t, None])) for t in _odd_texts(400)] + [(0.1, 0.1, "a b9 " * 500), (0.1, 0.1, "a " * 500)]
+    df = spark.createDataFrame(rows, "x double, y double, s string")
+    monkeypatch.setattr(topics, "_HELD", held)
+    by_list = df.withColumn("w", text.words(F.col("s")))
+    for o in ({}, {"terms": ["b9", "B"]}, {"stop": ["a", "b"]}, {"terms": ["a"], "stop": ["a"]}):
+        assert listed(topics.topics(df, "x", "y", "s", Cartesian(), levels, 20, bins, words=True, **o)) == listed(topics.topics(by_list, "x", "y", "w", Cartesian(), levels, 20, bins, **o))
+    assert topics.topics(df.limit(0), "x", "y", "s", Cartesian(), levels, words=True).count() == 0
+    batch = topics.pa.RecordBatch.from_arrays([topics.pa.array([7, 7, 7]), topics.pa.array(["a a a", None, "a B"])], ["z", "s"])
+    assert [r for b in topics._tallied(iter([batch]), [], []) for r in b.to_pylist()] == [{"z": 7, "term": "a", "n": 4}, {"z": 7, "term": "b", "n": 1}]
