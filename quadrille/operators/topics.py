@@ -121,6 +121,11 @@ def word_bags(df: DataFrame, x: str, y: str, column: str, projection, levels: li
     return term_counts(df, x, y, column, projection, levels, tms).groupBy(*TILE).agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("words"))
 
 
+def _alike(counted: DataFrame, term: Column) -> DataFrame:
+    """Conditions that always hold for counts. With them all that reads these has the same columns and filters, and so reads the same exchange."""
+    return counted.where(term.isNotNull() & (F.col("n") > 0)) if "n" in counted.columns else counted.where(term.isNotNull())
+
+
 def dictionary(counted: DataFrame, keys: list[str] | None = None, stop: list[str] | None = None, predefined: list[str] | None = None, least: float | None = None, most: float | None = None, features: int | None = None, case_sensitive: bool = False) -> DataFrame:
     """(keys..., term, df, docs): in how many documents, which are the tiles, each term is, and how many there are.
 
@@ -129,16 +134,20 @@ def dictionary(counted: DataFrame, keys: list[str] | None = None, stop: list[str
     """
     keys = ["z"] if keys is None else keys
     term = F.col("term") if case_sensitive else F.lower("term")
-    # A condition that always holds keeps n, so that this and what else reads the counts read the same exchange.
-    counted = counted.where("n > 0") if "n" in counted.columns else counted
+    counted = _alike(counted, term)
     seen = counted.select(*keys, *[c for c in TILE if c not in keys], term.alias("term")).distinct()
     docs = seen.select(*keys, *[c for c in TILE if c not in keys]).distinct().groupBy(*keys).agg(F.count("*").alias("docs"))
+    # These look at df, so that they stay above the exchange that docs reads as well.
+    counts = F.lit(True)
     if stop:
-        seen = seen.where(~F.col("term").isin([s if case_sensitive else s.lower() for s in stop]))
+        counts = counts & ~F.col("term").isin([s if case_sensitive else s.lower() for s in stop])
     if predefined is not None:
-        seen = seen.where(F.col("term").isin([s if case_sensitive else s.lower() for s in predefined]))
+        counts = counts & F.col("term").isin([s if case_sensitive else s.lower() for s in predefined])
     # One row a level: the docs side has as many rows as there are levels, whatever the data.
-    out = seen.groupBy(*keys, "term").agg(F.count("*").alias("df")).join(F.broadcast(docs), keys or None)
+    out = seen.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    if stop or predefined is not None:
+        out = out.where(F.when(F.col("df") > 0, counts))
+    out = out.join(F.broadcast(docs), keys or None)
     share = lambda v: v if v <= 1 else v / 100.0
     if least is not None:
         out = out.where(F.col("df") >= F.lit(share(float(least))) * F.col("docs"))
@@ -182,7 +191,10 @@ def tfidf(counted: DataFrame, words: int, tf_kind: str = "sublinear", idf_kind:
     """
     # The tile's own numbers come from a window over what the dictionary leaves; the dictionary is joined by level and term, as large as it may be.
     case = options.get("case_sensitive", False)
+    if not case:  # once for all that reads the counts
+        options |= {"case_sensitive": True} | {k: [w.lower() for w in options[k]] for k in ("stop", "predefined") if options.get(k) is not None}
     counted = counted.withColumn("term", F.col("term") if case else F.lower("term")).groupBy(*TILE, "term").agg(F.sum("n").alias("n"))
+    counted = _alike(counted, F.col("term"))
     known = counted.join(dictionary(counted, **options), ["z", "term"])
     tile = Window.partitionBy(*TILE)
     scored = known.withColumns({"total": F.sum("n").over(tile), "most": F.max("n").over(tile)}).withColumn("score", tf(tf_kind, k) * idf(idf_kind))

@@ -126,3 +126,13 @@ def test_words_are_counted_by_the_task(spark, monkeypatch, levels, bins, held):
     assert topics.topics(df.limit(0), "x", "y", "s", Cartesian(), levels, words=True).count() == 0
     batch = topics.pa.RecordBatch.from_arrays([topics.pa.array([7, 7, 7]), topics.pa.array(["a a a", None, "a B"])], ["z", "s"])
     assert [r for b in topics._tallied(iter([batch]), [], []) for r in b.to_pylist()] == [{"z": 7, "term": "a", "n": 4}, {"z": 7, "term": "b", "n": 1}]
+
+
+@pytest.mark.parametrize("made", [lambda c: topics.tfidf(c, 3, "binary", "probabilistic"), lambda c: topics.tfidf(c, 3, "normalized", "linear", stop=["The"]), lambda c: topics.dictionary(c, stop=["the"], least=0.2, most=90.0, features=300)])
+def test_texts_are_read_once(spark, made):
+    """Terms, dictionary and number of documents come from one exchange of counts."""
+    df = spark.createDataFrame([(0.1, 0.1, "The one"), (0.9, 0.9, "the two two")], "x double, y double, s string")
+    out = made(topics.term_counts(df, "x", "y", "s", Cartesian(), [0, 1]))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") == 1
