@@ -17,7 +17,7 @@ from quadrille.operators.tiling import BIN, TILE, rolled_up, rolls_up
 from quadrille.shelf import batches
 
 #: Counts that a task holds before it passes them on.
-_HELD = 1 << 19
+_HELD = 1 << 18
 
 
 def _listed(counters: dict[tuple, Counter], schema: pa.Schema) -> pa.RecordBatch:
